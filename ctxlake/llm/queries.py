@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxlake.llm import knn, lookalike, mixing, runs, split, tokenizer
+from ctxlake.llm import dedup, knn, lookalike, mixing, runs, split, tokenizer
 from ctxlake.runtime import table
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and distilled documents under one id: twice the own id, plus 1 for distillations."""
+    chunks = table(spark, d, "chunks").select((F.col("chunk_id") * 2).alias("gid"), F.lit(0).alias("part"), "text")
+    return chunks.unionByName(dedup.page_texts(table(spark, d, "distillations")).select((F.col("id") * 2 + 1).alias("gid"), F.lit(1).alias("part"), "text"))
+
+
+def _kind(gid: Column) -> Column:
+    return F.when(gid % 2 == 0, F.lit("chunk")).otherwise(F.lit("distillation"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    p = dedup.near_pairs(_records(spark, d), size=3, min_words=20, threshold=0.5)
+    return p.select(_kind(F.col("a")).alias("item_kind"), F.expr("a div 2").alias("id_a"), F.expr("b div 2").alias("id_b"))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a record: the class of its exact set of five-word shingles, its size, and the number of other classes at 0.8 or more."""
+    members, links = dedup.classes(_records(spark, d))
+    both = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    m = members.join(both, "rep", "left")
+    return m.select(_kind(F.col("gid")).alias("item_kind"), F.expr("gid div 2").alias("item_id"), F.expr("rep div 2").alias("class_id"), "n", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks")).where("piece_index = 0").select("chunk_id")
 
@@ -62,5 +85,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p2_found", "p2_pieces", "p3_found", "p3_runs", "p5_found", "p5_knn", "p7_ids", "p8_mix", "p8_shares", "p8_order", "p9_found", "p9_forms")
+    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p5_found", "p5_knn", "p7_ids", "p8_mix", "p8_shares", "p8_order", "p9_found", "p9_forms")
     return {n: globals()[n] for n in names}
