@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxlake.llm import dedup, knn, lookalike, mixing, runs, split, tokenizer
+from ctxlake.llm import dedup, knn, language, lookalike, mixing, runs, split, tokenizer
 from ctxlake.runtime import table
 
 
@@ -49,6 +49,25 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(table(spark, d, "activity_log"))
 
 
+def _items(spark: SparkSession, d: str, chunks: str) -> DataFrame:
+    """Pages and those chunks that fit the condition: item_kind, item_id, text."""
+    pages = table(spark, d, "page_results").select(F.lit("page").alias("item_kind"), F.col("page_id").alias("item_id"), "text")
+    return pages.unionByName(table(spark, d, "chunks").where(chunks).select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text"))
+
+
+_PROSE = r"source_path IS NULL OR NOT source_path RLIKE '[.](log|py|toml)$'"
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = language.mislabelled(_items(spark, d, _PROSE), table(spark, d, "word_list"), table(spark, d, "lang_labels"))
+    return found.select("item_kind", "item_id", "lang")
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = language.segments(_items(spark, d, _PROSE), table(spark, d, "word_list"))
+    return s.select("item_kind", "item_id", F.posexplode("segments").alias("segment", "s")).select("item_kind", "item_id", "segment", "s.lang", "s.chars", "s.confidence").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     p = knn.near_pairs(table(spark, d, "chunk_embeddings"), k=5, min_cosine=0.9)
     return p.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -85,5 +104,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p5_found", "p5_knn", "p7_ids", "p8_mix", "p8_shares", "p8_order", "p9_found", "p9_forms")
+    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p7_ids", "p8_mix", "p8_shares", "p8_order", "p9_found", "p9_forms")
     return {n: globals()[n] for n in names}
