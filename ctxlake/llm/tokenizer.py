@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,7 +155,7 @@ def load(path: str) -> TrieBPE:
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``most`` bytes of text each."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     begin, size = 0, 0
     for i, n in enumerate(lengths):
         if i > begin and size + n > most:
