@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxlake.llm import dedup, knn, language, lookalike, mixing, runs, split, tokenizer
+from ctxlake.llm import dedup, knn, language, lookalike, mixing, ocr, runs, split, tokenizer
 from ctxlake.runtime import table
 
 
@@ -78,6 +78,24 @@ def p5_knn(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "rank", F.round("cosine", 4).alias("cosine"))
 
 
+def _originals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Paged originals (item_kind, item_id, key, text), each page once, and the texts that never saw a scanner (key, text)."""
+    pages, chunks = table(spark, d, "page_results"), table(spark, d, "chunks")
+    once = pages.groupBy("page_id").agg(F.max(F.struct("doc_key", "text", "method")).alias("p")).select(F.lit("page").alias("item_kind"), F.col("page_id").alias("item_id"), F.col("p.doc_key").alias("key"), "p.text")
+    scans = chunks.where(r"source_path RLIKE '[.](pdf|png|tiff|jpg)$'").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("source_path").alias("key"), "text")
+    born = pages.where("method = 'native_text'").select(F.col("doc_key").alias("key"), "text")
+    born = born.unionByName(chunks.where(r"source_path RLIKE '[.](md|txt)$'").select(F.col("source_path").alias("key"), "text"))
+    return once.unionByName(scans), born
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.damage(*_originals(spark, d))
+
+
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repair(*_originals(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -104,5 +122,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p7_ids", "p8_mix", "p8_shares", "p8_order", "p9_found", "p9_forms")
+    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p6_found", "p6_text", "p7_ids", "p8_mix", "p8_shares", "p8_order", "p9_found", "p9_forms")
     return {n: globals()[n] for n in names}
