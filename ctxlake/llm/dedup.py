@@ -32,7 +32,7 @@ WORD = re.compile(r"[^\W_]+")
 FAMILIES, BUCKETS, BAND = 12, 16, 4
 MANTISSA = 10
 #: Registers that go along for the estimate: those of the first families.
-ESTIMATE = 5 * BUCKETS
+ESTIMATE = 4 * BUCKETS
 U = np.uint64
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (FAMILIES, 2), dtype=np.uint64) | U(1)
 
@@ -101,11 +101,11 @@ def registers(h: np.ndarray, begin: np.ndarray, families: int = FAMILIES) -> np.
 
 
 def band_keys(reg: np.ndarray) -> np.ndarray:
-    """int64 [rows, bands]: each band has one register of each of four families."""
+    """int32 [rows, bands]: each band has one register of each of four families."""
     r = reg.reshape(len(reg), FAMILIES // BAND, BAND, BUCKETS).astype(U)
     key = (r[:, :, 0] << U(48)) | (r[:, :, 1] << U(32)) | (r[:, :, 2] << U(16)) | r[:, :, 3]
     key = key.reshape(len(reg), -1)
-    return mix(key ^ (np.arange(key.shape[1], dtype=U) * U(0xD6E8FEB86659FD93))).view(np.int64)
+    return (mix(key) >> U(32)).astype(np.uint32).view(np.int32)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -124,38 +124,48 @@ def _banding(size: int, min_words: int):
             if len(rows):
                 part = b.column(2).take(pa.array(rows)).to_numpy()
                 prints = [p.tobytes() + blake2b(np.unique(h[lo:hi]).tobytes(), digest_size=16).digest() for p, lo, hi in zip(part, begin, begin[1:])]
-                keys = band_keys(registers(h, begin)) ^ mix(part.astype(U)).view(np.int64)[:, None]
+                reg = registers(h, begin)
+                keys = band_keys(reg) ^ (mix(part.astype(U)) >> U(32)).astype(np.uint32).view(np.int32)[:, None]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(prints, pa.binary()), flat], names=["gid", "print", "keys"])
+                sketch = pa.array([r.tobytes() for r in reg[:, :ESTIMATE]], pa.binary())
+                size_ = pa.array(np.diff(begin), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(prints, pa.binary()), flat, sketch, size_], names=["gid", "print", "keys", "sketch", "n"])
 
     return run
 
 
-def _sketching(size: int, min_words: int):
+def _sets(size: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, h, begin = shingles(b.column(1).to_pylist(), size, min_words)
             if len(rows):
-                reg = registers(h, begin, ESTIMATE // BUCKETS)
                 sets = [np.unique((h[lo:hi] >> U(32)).astype(np.uint32)).tobytes() for lo, hi in zip(begin, begin[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([r.tobytes() for r in reg], pa.binary()), pa.array(sets, pa.binary())], names=["gid", "sketch", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["gid", "set"])
 
     return run
 
 
-def _verifying(threshold: float, slack: float):
+def _estimating(least: float):
+    """Keeps the pairs (a, b, ra, rb, na, nb) whose estimate is at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (2, 3))
+                near = pa.array(np.flatnonzero(estimate(x, y, np.asarray(b.column(4)), np.asarray(b.column(5))) >= least))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(near), b.column(1).take(near)], names=["a", "b"])
+
+    return run
+
+
+def _verifying(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sa, sb, ra, rb = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
-            if not sa:
-                continue
-            a, c = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), -1) for x in (ra, rb))
-            na, nb = (np.array([len(x) // 4 for x in s]) for s in (sa, sb))
-            near = np.flatnonzero(estimate(a, c, na, nb) >= threshold - slack)
             keep, sim = [], []
-            for i in near.tolist():
-                both = len(np.intersect1d(np.frombuffer(sa[i], np.uint32), np.frombuffer(sb[i], np.uint32), assume_unique=True))
-                j = both / (na[i] + nb[i] - both)
+            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                j = both / (len(u) + len(v) - both)
                 if j >= threshold:
                     keep.append(i)
                     sim.append(j)
@@ -168,17 +178,17 @@ def classes(items: DataFrame, size: int = 5, min_words: int = 20, threshold: flo
     """From items (gid, part, text), compared within a part: members (gid, rep, n: size of the class of copies) and links (a, b, similarity) between
     the representatives of classes, a < b. The defaults are five words and 0.8."""
     items = items.select("gid", "text", F.col("part").cast("long").alias("part")).where("text IS NOT NULL AND gid IS NOT NULL AND part IS NOT NULL")
-    banded = checkpointed(items.mapInArrow(_banding(size, min_words), "gid long, print binary, keys array<long>"))
+    banded = checkpointed(items.mapInArrow(_banding(size, min_words), "gid long, print binary, keys array<int>, sketch binary, n int"))
     groups = banded.groupBy("print").agg(F.min("gid").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    bands = groups.select("rep", F.explode("keys").alias("key"))
+    bands = groups.select("rep", F.posexplode("keys").alias("band", "k")).select("rep", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("k")).alias("key"))
     buckets = bands.groupBy("key").agg(F.collect_list("rep").alias("m")).where(F.size("m") > 1)
     pairs = buckets.select("m", F.explode("m").alias("a")).select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b")).distinct()
-    info = items.mapInArrow(_sketching(size, min_words), "gid long, sketch binary, set binary")
-    x = info.select(F.col("gid").alias("a"), F.col("sketch").alias("ra"), F.col("set").alias("sa"))
-    y = info.select(F.col("gid").alias("b"), F.col("sketch").alias("rb"), F.col("set").alias("sb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "ra", "rb")
+    side = lambda s: banded.select(F.col("gid").alias(s), F.col("sketch").alias("r" + s), F.col("n").alias("n" + s))
     slack = 4 * (threshold * (1 - threshold) / ESTIMATE) ** 0.5
-    links = both.mapInArrow(_verifying(threshold, slack), "a long, b long, similarity double")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimating(threshold - slack), "a long, b long")
+    sets = items.mapInArrow(_sets(size, min_words), "gid long, set binary")
+    both = near.join(sets.select(F.col("gid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("gid").alias("b"), F.col("set").alias("sb")), "b")
+    links = both.select("a", "b", "sa", "sb").mapInArrow(_verifying(threshold), "a long, b long, similarity double")
     sizes = groups.select("print", "rep", "n")
     members = banded.select("gid", "print").join(sizes, "print").select("gid", "rep", "n")
     return members, links
