@@ -16,6 +16,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a lambda's variable is bound, while a repeated expression is computed again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: str | Column) -> Column:
     """White space off both ends."""
     return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+$", "")
@@ -37,9 +42,7 @@ def text_tokens(c: str | Column) -> Column:
 
 def split_lines(c: str | Column) -> Column:
     """Lines without their ends; no empty last line after a final line end; an empty text has no lines."""
-    a = F.split(col(c), LINE_END, -1)
-    n = F.size(a)
-    return F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(a)
+    return let(F.split(col(c), LINE_END, -1), lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a))
 
 
 def collapse_space(c: str | Column) -> Column:

@@ -1,11 +1,200 @@
-"""Registered queries of the core operators and their SQL."""
+"""Registered queries of the core operators, over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxlake.functions import text as T
+from ctxlake.functions import tokens as K
+from ctxlake.operators import activity, audit, boilerplate, chunking, compress, pack, pages, retrieval, sessions, store
+from ctxlake.plans.core_sql import oracle_sql
+from ctxlake.runtime import table
+from ctxlake.streaming import activity as streams
+from ctxlake.streaming.run import drain, parquet_stream
+
+__all__ = ["oracle_sql", "queries"]
+
+QUESTIONS = ((1, "northern harbour library"), (2, "the signature of the contract"), (3, "backup snapshot tokenizer"), (4, "zzqqxx"), (5, "pump pump valve"))
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return pages.once(table(s, d, "page_results"))
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    """Each event once, with its bucket in one spelling."""
+    b = F.regexp_replace(F.lower(F.regexp_replace("bucket", r"[\s_-]", "")), "^bash(test|git|infra)$", "bash_$1")
+    return table(s, d, "activity_log").dropDuplicates(["seq"]).withColumn("bucket", b)
+
+
+def _questions(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(list(QUESTIONS), "q long, question string")
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return pages.documents(_pages(s, d))
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    r = pages.run_rows(_docs(s, d), "scan")
+    return r.join(table(s, d, "distillations").select(F.col("content_hash").alias("doc_key"), F.col("created_at").alias("ts")), "doc_key")
+
+
+def _logs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+
+
+def _log_text(s: SparkSession, d: str) -> DataFrame:
+    """Test-run and install logs made of the words of lineitem, one for each order."""
+    fails = F.concat(F.lit("FAILED tests/part_"), F.col("l_partkey").cast("string"), F.lit(" - wrong"))
+    rows = table(s, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", fails.alias("f")))), lambda x: x["f"]), "\n").alias("f"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_suppkey").alias("p")))), lambda x: F.concat(F.lit("Collecting pkg"), x["p"].cast("string"), F.lit("\n  Downloading pkg.whl"))), "\n").alias("c"),
+        F.count("*").alias("n"),
+    )
+    test = F.concat(F.lit("=== test session starts ===\ncollected 99 items\n...F..\n=== FAILURES ===\n___ test_a ___\nE   assert 1 == "), F.col("n").cast("string"), F.lit("\nE   more\n___ test_b ___\nE   later\n"), F.col("f"), F.lit("\n"), F.col("n").cast("string"), F.lit(" failed, 3 passed in 0.12s\n"))
+    inst = F.concat(F.col("c"), F.lit("\nRequirement already satisfied: base\nERROR: conflict\nSuccessfully installed pkg\n"))
+    return rows.select("l_orderkey", test.alias("test"), inst.alias("install"))
+
+
+def _boxes(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem")
+    b = F.struct((F.col("l_suppkey") % 600 * 1.0).alias("x0"), (F.col("l_partkey") % 700 * 1.0).alias("y0"), (F.col("l_suppkey") % 600 + F.col("l_quantity") * 3).alias("x1"), (F.col("l_partkey") % 700 + F.col("l_linenumber") * 20.0).alias("y1"))
+    return li.select("l_orderkey", "l_linenumber", b.alias("b"))
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """Chunks as files of a tree."""
+    return table(s, d, "chunks").where("text IS NOT NULL").select(F.concat(F.substring("source_path", 2, 1000), F.lit("."), F.col("chunk_id").cast("string"), F.regexp_extract("source_path", r"(\.[a-z]+)$", 1)).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+def _vector(s: SparkSession, d: str) -> DataFrame:
+    """The vector of the least chunk of the larger model: a question's vector."""
+    v = table(s, d, "chunk_embeddings").where("model = 'lattice-64' AND size(vector) = 64")
+    return v.agg(F.min_by("vector", "chunk_id").alias("qv"))
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "chunk_embeddings").where("model = 'lattice-64' AND size(vector) = 64").select(F.col("chunk_id").alias("doc"), "vector")
+    return v.crossJoin(F.broadcast(_vector(s, d)))  # one row
+
+
+def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = table(s, d, "chunks")
+    p, n = retrieval.postings(c, "chunk_id"), retrieval.lengths(c, "chunk_id")
+    return p, n, retrieval.term_stats(p, n)
+
+
+def _scored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p, n, t = _index(s, d)
+    return retrieval.normalised(retrieval.scores(p, n, t, _questions(s))), n
+
+
+def _hybrid(s: SparkSession, d: str) -> DataFrame:
+    scored, lens = _scored(s, d)
+    one = _questions(s).where("q = 1")
+    every = lens.select("doc").crossJoin(F.broadcast(one.select("q"))).join(scored.where("q = 1"), ["q", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    v = _vectors(s, d).select("doc", K.cosine(F.col("vector"), F.col("qv")).alias("cos"))
+    both = every.join(v, "doc", "left").select("q", "doc", F.when(F.col("cos").isNull(), F.col("score")).otherwise(0.5 * F.col("score") + 0.5 * F.col("cos")).alias("score"))
+    return both.select("q", "doc", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc").limit(10)
+
+
+def _fresh(s: SparkSession, d: str) -> DataFrame:
+    """A new index of every source whose name ends in 7.pdf."""
+    c = table(s, d, "chunks").where("source_path LIKE '%7.pdf' AND chunk_index = 0")
+    return c.withColumn("text", F.concat("text", F.lit(" (new)"))).withColumn("chunk_id", F.col("chunk_id") + 100_000_000)
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d).join(table(s, d, "distillations").select(F.col("content_hash").alias("doc_key"), "id", "source_path", "boilerplate_json"), "doc_key")
+    entries = F.coalesce(F.from_json("boilerplate_json", "array<struct<line:string,occurrences:int>>"), F.array().cast("array<struct<line:string,occurrences:int>>"))
+    shown = F.when(F.size(entries) > 0, F.concat(boilerplate.render(entries), F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
+    head = sessions.header(F.col("source_path"), F.col("raw_tokens"), F.col("distilled_tokens"), F.col("ratio"), F.col("figures_note"), F.col("uncaptured_note"))
+    docs = docs.select("doc_key", F.col("id").alias("handle"), head.alias("head"), shown.alias("shown"))
+    reads = sessions.rereads(table(s, d, "session_reads")).where(F.col("content_hash").isNotNull())
+    j = reads.join(docs, reads.content_hash == docs.doc_key)
+    return j.select(reads.id.alias("read_id"), "reread", sessions.body(F.col("head"), F.col("shown"), F.col("handle"), F.col("reread")).alias("body"))
+
+
 
 def queries() -> dict:
-    return {}
+    t = table
+    q = {
+        "bm25_topk": lambda s, d: (lambda x: retrieval.top_k(x[0], x[1], _questions(s), 5))(_scored(s, d)),
+        "text_tokens": lambda s, d: t(s, d, "documents").select("doc_id", T.text_tokens("text").alias("tokens")),
+        "image_tokens": lambda s, d: t(s, d, "part").select("p_partkey", K.image_tokens(F.col("p_size") * 97 - 60, F.col("p_partkey") % 3000 - 2).alias("tokens")),
+        "downscaled": lambda s, d: t(s, d, "part").select("p_partkey", K.downscaled(F.col("p_size") * 97, F.col("p_partkey") % 3000 + 1).alias("x")).select("p_partkey", "x.w", "x.h"),
+        "page_host_tokens": lambda s, d: _pages(s, d).select("page_id", K.page_host_tokens(F.col("page_id") % 700 + 300, F.col("page_id") % 500 + 400.5, F.col("text")).alias("tokens")),
+        "figure_boxes": lambda s, d: _boxes(s, d).select("l_orderkey", "l_linenumber", F.size(K.large_enough(F.array("b"))).alias("kept")),
+        "crop_geometry": lambda s, d: _boxes(s, d).select("l_orderkey", "l_linenumber", K.crop(F.col("b"), F.lit(792.0), F.lit(1275), F.lit(1650), 150.0).alias("c")).select("l_orderkey", "l_linenumber", "c.left", "c.top", "c.right", "c.bottom"),
+        "otsu_threshold": lambda s, d: pages.otsu(t(s, d, "part").select("p_brand", (F.col("p_size") * 5 % 256).alias("level")), "p_brand", "level"),
+        "doc_compression": lambda s, d: _docs(s, d).select("doc_key", "page_count", "raw_tokens", "distilled_tokens", F.round("ratio", 6).alias("ratio")),
+        "method_counts": lambda s, d: _pages(s, d).groupBy("doc_key", "method").agg(F.count("*").alias("n")),
+        "mean_confidence": lambda s, d: _docs(s, d).select("doc_key", F.round("mean_confidence", 4).alias("mean_confidence")),
+        "doc_text": lambda s, d: _docs(s, d).select("doc_key", "text"),
+        "doc_notes": lambda s, d: _docs(s, d).select("doc_key", "figure_count", "figures_note", "uncaptured_note", F.array_join("warnings", "|").alias("warnings")),
+        "native_pages": lambda s, d: _pages(s, d).where(pages.native(F.col("text"))).select("page_id"),
+        "uncaptured_pages": lambda s, d: _docs(s, d).select("doc_key", F.explode("uncaptured").alias("page_index")),
+        "ocr_route": lambda s, d: _pages(s, d).select("page_id", pages.ocr_route(F.col("ocr_confidence"), F.col("ocr_word_count"), F.col("page_id") % 3 > 0, F.when(F.col("page_id") % 2 == 0, F.col("text"))).alias("route"), pages.needs_retry(F.col("ocr_confidence"), F.col("ocr_word_count")).alias("retry")).where("retry IS NOT NULL"),
+        "ocr_best_of_two": lambda s, d: _pages(s, d).where("ocr_word_count IS NOT NULL AND ocr_confidence IS NOT NULL").select("page_id", pages.best_pass(F.struct(F.col("ocr_word_count").alias("words"), F.col("ocr_confidence").alias("confidence"), F.lit("raw").alias("text")), F.struct((F.col("distilled_tokens_est") % 200).alias("words"), F.lit(75.0).alias("confidence"), F.lit("retry").alias("text")))["text"].alias("kept")),
+        "parsed_pages": lambda s, d: t(s, d, "distillations").select("id", F.explode(pages.parse_pages(F.col("pages_json"))).alias("p")).select("id", "p.page_index", "p.method", "p.text", "p.image_count", F.size("p.figures").alias("figures")),
+        "page_recount": lambda s, d: pages.recount(_pages(s, d)).select("page_id", "distilled_tokens_est"),
+        "run_log": lambda s, d: pages.run_rows(_docs(s, d), "scan"),
+        "savings_report": lambda s, d: pages.savings(_runs(s, d)),
+        "savings_since": lambda s, d: pages.savings(_runs(s, d), "2009-03-04"),
+        "boilerplate_lines": lambda s, d: boilerplate.find(_pages(s, d)),
+        "boilerplate_strip": lambda s, d: boilerplate.strip_pages(_pages(s, d)).select("page_id", "text"),
+        "boilerplate_manifest": lambda s, d: boilerplate.manifest(_pages(s, d)),
+        "boilerplate_rendered": lambda s, d: boilerplate.rendered(_docs(s, d).select("doc_key", "text"), boilerplate.manifest(_pages(s, d))).select("doc_key", F.sha2("rendered_text", 256).alias("sha")),
+        "chunk_text": lambda s, d: chunking.chunk(t(s, d, "documents")),
+        "index_postings": lambda s, d: retrieval.postings(t(s, d, "chunks"), "chunk_id"),
+        "term_stats": lambda s, d: _index(s, d)[2].select("term", "df", F.round("idf", 6).alias("idf")),
+        "bm25_scores": lambda s, d: _scored(s, d)[0].select("q", "doc", F.round("score", 6).alias("score")),
+        "cosine_topk": lambda s, d: _vectors(s, d).select("doc", F.round(K.cosine(F.col("vector"), F.col("qv")), 4).alias("score")).orderBy(F.desc("score"), "doc").limit(10),
+        "hybrid_topk": _hybrid,
+        "reindex_replace": lambda s, d: store.replace_source(t(s, d, "chunks"), _fresh(s, d)).select("chunk_id", "source_path", "chunk_index", T.text_tokens("text").alias("tokens")),
+        "vectors_left": lambda s, d: store.drop_vectors(t(s, d, "chunk_embeddings"), store.replace_source(t(s, d, "chunks"), _fresh(s, d))).select("chunk_id", "model"),
+        "compress_kind": lambda s, d: _logs(s, d).select("doc_id", compress.kind(F.col("text")).alias("kind")),
+        "compress_repeats": lambda s, d: _logs(s, d).select("doc_id", F.array_join(compress.collapse_repeats(T.split_lines("text")), "\n").alias("out")),
+        "compress_truncate": lambda s, d: _logs(s, d).select("doc_id", F.array_join(compress.truncate(T.split_lines("text")), "\n").alias("out")),
+        "compress_generic": lambda s, d: _logs(s, d).select("doc_id", compress.compress(F.col("text"), F.lit("generic")).alias("out")),
+        "compress_git_status": lambda s, d: t(s, d, "documents").where(compress.is_git_status(F.col("text"))).select("doc_id", compress.git_status(F.col("text")).alias("out")),
+        "compress_pytest": lambda s, d: _log_text(s, d).select("l_orderkey", compress.compress(F.col("test")).alias("out")),
+        "compress_install": lambda s, d: _log_text(s, d).select("l_orderkey", compress.compress(F.col("install")).alias("out")),
+        "compress_auto": lambda s, d: _logs(s, d).select("doc_id", compress.compress(F.col("text")).alias("out")),
+        "compress_stats": lambda s, d: _logs(s, d).select("doc_id", T.text_tokens("text").alias("before"), T.text_tokens(compress.compress(F.col("text"), F.lit("generic"))).alias("after")),
+        "activity_buckets": lambda s, d: t(s, d, "activity_log").dropDuplicates(["seq"]).select("seq", activity.bucket(F.col("tool_name"), F.when(F.col("seq") % 3 == 0, F.lit("GIT push")).when(F.col("seq") % 3 == 1, F.lit("run pytest -q"))).alias("bucket")),
+        "activity_window": lambda s, d: activity.recent(_events(s, d).where("session_id IS NOT NULL"), 10).select("session_id", "seq", "recency"),
+        "activity_counts": lambda s, d: activity.bucket_counts(_events(s, d)),
+        "activity_mode": lambda s, d: activity.modes(_events(s, d)),
+        "activity_retention": lambda s, d: activity.retained(_events(s, d)).select("seq"),
+        "read_gate": lambda s, d: t(s, d, "chunks").select("chunk_id", sessions.intercepts(F.col("source_path"), F.lit(None), F.when(F.col("chunk_id") % 4 == 0, F.col("chunk_index")), F.lit(None)).alias("answered")),
+        "rereads": lambda s, d: sessions.rereads(t(s, d, "session_reads")).select("id", "reread"),
+        "read_response": lambda s, d: _responses(s, d).select("read_id", "reread", F.length("body").alias("chars"), F.sha2("body", 256).alias("sha")),
+        "response_json": lambda s, d: t(s, d, "nation").select("n_nationkey", sessions.response(F.col("n_name")).alias("json")),
+        "large_doc_head": lambda s, d: t(s, d, "documents").where(T.text_tokens("text") > 400).select("doc_id", T.cap("text", 6000, "").alias("head")),
+        "duplicate_paragraphs": lambda s, d: audit.duplicates(t(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")),
+        "orphan_files": lambda s, d: audit.orphans(t(s, d, "customer").select(F.concat(F.lit("memory/"), F.col("c_name"), F.lit(".md")).alias("path")), t(s, d, "orders").where("o_custkey % 7 <> 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.concat(F.lit("see Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" and more")).alias("text"))),
+        "file_audit": lambda s, d: audit.files(t(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")),
+        "cache_hits": lambda s, d: store.hits(t(s, d, "session_reads").dropDuplicates(["id"]).select("id", "content_hash"), t(s, d, "distillations")).select("id", "hit"),
+        "cache_misses": lambda s, d: store.misses(t(s, d, "session_reads").dropDuplicates(["id"]).select("id", "content_hash"), t(s, d, "distillations")).select("id"),
+        "cache_latest": lambda s, d: store.latest(t(s, d, "distillations").select("source_path", "id", "content_hash"), "source_path", "id"),
+        "cache_list": lambda s, d: store.listing(t(s, d, "distillations")).select("id", "source_path"),
+        "content_hash": lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha"), F.sha1(T.collapse_space("text").cast("binary")).alias("norm")),
+        "pack_route": lambda s, d: pack.pack(_tree(s, d), exclude="*copy/*").select("path", "route", "tokens"),
+        "pack_include": lambda s, d: pack.pack(_tree(s, d), include="*.md", patterns=(*pack.EXCLUDES, "data/", "!data/*/keep.md", "*1.md")).select("path"),
+        "pack_sections": lambda s, d: pack.pack(_tree(s, d)).where("route = 'text'").select("path", pack.markdown_section(F.col("path"), F.col("text"), F.lit(False)).alias("md"), pack.xml_section(F.col("path"), F.col("text"), F.lit(False)).alias("xml")),
+        "pack_head": lambda s, d: pack.head(pack.pack(_tree(s, d)).where("route = 'text'")),
+        "path_sort": lambda s, d: pack.by_path(t(s, d, "chunks").select(F.col("source_path").alias("path")).distinct()),
+        "stream_activity_mode": lambda s, d: _stream_modes(s, d),
+        "stream_rereads": lambda s, d: drain(streams.reread_stream(parquet_stream(s, f"{d}/session_reads.parquet", t(s, d, "session_reads").schema)), "append").select("id", "reread"),
+    }
+    return q
 
 
-def oracle_sql() -> dict:
-    return {}
+def _stream_modes(s: SparkSession, d: str) -> DataFrame:
+    schema = table(s, d, "activity_log").schema
+    b = F.regexp_replace(F.lower(F.regexp_replace("bucket", r"[\s_-]", "")), "^bash(test|git|infra)$", "bash_$1")
+    stream = parquet_stream(s, f"{d}/activity_log.parquet", schema).withColumn("bucket", b)
+    return store.latest(drain(streams.rolling_modes(stream), "update"), "session_id", "epoch").select("session_id", "n", "mode")
