@@ -47,7 +47,8 @@ BROKEN = re.compile(rf"(?<=[^\W\d_])[{MARKS}][ \t]*\n(?=[^\W\d_])")
 PAGE_WORDS = ("page", "seite", "página", "pagina", "blz", "стр", "страница", "p", "pp", "pg", "pag", "s", "f", "blatt", "hoja", "folio", "bladzijde", "sheet")
 ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _NUMBER = r"[0-9OoIlSsBb]{0,3}[0-9][0-9OoIlSsBb]{0,3}"
-NUMBER_LINE = re.compile(rf"[\W_]{{0,3}}(?:([^\W\d_]{{1,10}})[.:]?\s*)?[\W_]{{0,2}}({_NUMBER})(?:\s*(?:/|of|von|de|di|van|из|sur|-)\s*({_NUMBER}))?[\W_]{{0,3}}")
+_FRAME = r"[-–—·•\[\](){}|.*~_ ]{0,3}"
+NUMBER_LINE = re.compile(rf"{_FRAME}(?:([^\W\d_]{{1,10}})[.:]?\s*)?{_FRAME}({_NUMBER})(?:\s*(?:/|of|von|de|di|van|из|sur|-)\s*({_NUMBER}))?{_FRAME}")
 TABLE_ROW = re.compile(r"\s*(?:\|.*\||[^\W\d_][\w-]*\s{2,}[\d.,]+%?|\S+(?:\t\S+)+)\s*")
 SHORT_ROW = re.compile(r"\s*[\d.,]+%?\s*")
 #: A token of running text: letters, possibly with foreign signs inside, not part of an identifier or path.
@@ -391,7 +392,7 @@ def repaired(reader: Reader, text: str, drop: set[int]) -> str:
     out, at = [], 0
     for a, b, w in sorted(found, key=lambda x: (x[0], -x[1])):
         right = reader.memo[w]
-        if a >= at and right:
+        if a >= at and right and (right in reader.known or (right.isalpha() and reader.plausible(right))):
             old = text[a:b]
             out += [text[at:a], right.upper() if old.isupper() and len(old) > 1 else right[:1].upper() + right[1:] if old[0].isupper() else right]
             at = b

@@ -18,11 +18,33 @@ g AS (SELECT session_id, k AS bucket, arg_min(seq, struct_pack(a := ts, b := seq
       FROM r GROUP BY session_id, run, k)
 """
 
+_P1 = r"""
+WITH it AS (
+  SELECT 'chunk' AS item_kind, chunk_id AS id, text FROM chunks
+  UNION ALL
+  SELECT 'distillation', id, array_to_string(list_transform(from_json(pages_json, '[{"text":"VARCHAR"}]'), lambda p: coalesce(p.text, '')), chr(10) || chr(10)) FROM distillations),
+w AS (SELECT item_kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM it WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT item_kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+n AS (SELECT item_kind, id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.item_kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.item_kind = b.item_kind AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT p.item_kind, id_a, id_b FROM p JOIN n x ON x.item_kind = p.item_kind AND x.id = id_a JOIN n y ON y.item_kind = p.item_kind AND y.id = id_b WHERE c * 2 >= x.n + y.n - c
+"""
+
+_P5 = r"""
+WITH u AS (SELECT model, arg_max(d, struct_pack(n := n, m := -d)) AS d FROM (SELECT model, len(vector) AS d, count(*) AS n FROM chunk_embeddings WHERE len(vector) > 0 GROUP BY ALL) GROUP BY model),
+v AS (SELECT chunk_id AS id, e.model, vector::DOUBLE[] AS x FROM chunk_embeddings e JOIN u ON u.model = e.model AND u.d = len(e.vector) WHERE list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
+p AS (SELECT a.id AS q, b.id AS o, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.model = b.model AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, o) AS k FROM p)
+SELECT DISTINCT least(q, o) AS chunk_id_a, greatest(q, o) AS chunk_id_b FROM r WHERE k <= 5 AND c >= 0.9
+"""
+
 _WS = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
+        "p5_found": _P5,
         "p2_found": f"SELECT chunk_id FROM chunks WHERE round_even(length(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')) / 4.0, 0) > 500",
         "p3_found": _RUNS + "SELECT session_id, first_seq, last_seq FROM g WHERE n_events > 1",
         "p3_runs": _RUNS + "SELECT session_id, bucket, first_seq, last_seq, first_ts, last_ts, n_events, duration_s FROM g",
