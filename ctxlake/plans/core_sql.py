@@ -94,6 +94,8 @@ gl AS (SELECT doc_id, label, list(path ORDER BY i) AS p FROM ge WHERE label IS N
 gt AS (SELECT doc_id, sum(len(p)) AS n, string_agg('  ' || label || ' (' || len(p) || '): ' || array_to_string(p[1:5], ', ') || CASE WHEN len(p) > 5 THEN ', +' || (len(p) - 5) || ' more' ELSE '' END, chr(10) ORDER BY label) AS body FROM gl GROUP BY doc_id)
 SELECT gs.doc_id, CASE WHEN gt.n IS NULL THEN gs.text ELSE CASE WHEN regexp_matches(text, '(?m)^(?:On branch |## )[^{_WS}]+') THEN 'branch ' || string_split(regexp_extract(text, '(?m)^(?:On branch |## )([^{_WS}]+)', 1), '...')[1] || '; ' ELSE '' END || gt.n::BIGINT || ' path(s) changed' || chr(10) || body END AS out FROM gs LEFT JOIN gt ON gt.doc_id = gs.doc_id"""
 _TREE = r"tr AS (SELECT substr(source_path, 2) || '.' || chunk_id || regexp_extract(source_path, '(\.[a-z]+)$', 1) AS path, text FROM chunks WHERE text IS NOT NULL), tf AS (SELECT *, regexp_replace(text, '\r\n?', chr(10), 'g') AS body FROM tr)"
+_GIT_CTES, _GIT_LAST = _GIT[len(_LINES) + 2 :].rsplit("\nSELECT gs.doc_id", 1)
+_GIT_LAST = "SELECT gs.doc_id" + _GIT_LAST
 #: The kind of a file is told from its first 1,024 bytes, so a letter cut there makes it no text.
 _CUT = "(octet_length(encode(text)) > 1024 AND hex(encode(text)[1025:1025]) BETWEEN '80' AND 'BF')"
 _SUF = r"lower(regexp_extract(path, '(\.[^./]+)$', 1))"
@@ -152,6 +154,8 @@ def oracle_sql() -> dict[str, str]:
         "compress_pytest": f"WITH {_LOGS} SELECT l_orderkey, n || ' failing:' || chr(10) || array_to_string(fl[1:20], chr(10)) || CASE WHEN n > 20 THEN chr(10) || '  ... +' || (n - 20) || ' more' ELSE '' END || chr(10) || 'first failure:' || chr(10) || '  E   assert 1 == ' || n || chr(10) || '  E   more' || chr(10) || n || ' failed, 3 passed in 0.12s' AS out FROM fl",
         "compress_install": f"WITH {_LOGS} SELECT l_orderkey, 'collected ' || n || ' package(s)' || chr(10) || '1 already satisfied' || chr(10) || 'ERROR: conflict' || chr(10) || 'Successfully installed pkg' AS out FROM fl",
         "compress_stats": f"WITH {_RUNL}, g AS (SELECT doc_id, text, {_TRUNC} AS out FROM cl), h AS (SELECT doc_id, text, CASE WHEN NOT regexp_matches(text, '[^{_WS}]') THEN text WHEN {_len('out')} < {_len('text')} THEN out ELSE text END AS out FROM g) SELECT doc_id, {_tok('text')} AS before, {_tok('out')} AS after FROM h",
+        "compress_auto": f"""WITH {_RUNL}, gn AS (SELECT doc_id, text, {_TRUNC} AS out FROM cl), {_GIT_CTES}, gi AS ({_GIT_LAST}), un AS (SELECT gn.doc_id, gn.text, coalesce(gi.out, gn.out) AS out FROM gn LEFT JOIN gi ON gi.doc_id = gn.doc_id)
+            SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[^{_WS}]') THEN text WHEN {_len('out')} < {_len('text')} THEN out ELSE text END AS out FROM un""",
         "activity_buckets": f"WITH {_EV}, c AS (SELECT seq, tool_name, CASE seq % 3 WHEN 0 THEN 'git push' WHEN 1 THEN 'run pytest -q' ELSE '' END AS c FROM ev) SELECT seq, CASE WHEN tool_name IN ('Edit', 'Write', 'NotebookEdit') THEN 'edit' WHEN tool_name IN ('Read', 'Glob', 'Grep') THEN 'read' WHEN tool_name = 'Bash' THEN CASE WHEN contains(c, 'pytest') THEN 'bash_test' WHEN starts_with(c, 'git ') THEN 'bash_git' ELSE 'bash_infra' END WHEN tool_name IN ('WebFetch', 'WebSearch') THEN 'web' ELSE 'other' END AS bucket FROM c",
         "activity_window": f"WITH {_EV} SELECT session_id, seq, recency::INTEGER AS recency FROM rc WHERE recency <= 10",
         "activity_counts": f"WITH {_EV} SELECT session_id, bucket, count(*) AS n FROM rc WHERE recency <= 10 GROUP BY session_id, bucket",
