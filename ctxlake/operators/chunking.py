@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ctxlake.config import DEFAULT, EngineConfig
 from ctxlake.functions.text import text_tokens
+from ctxlake.runtime import spread
 
 
 def cut_words(paragraph: str, size: int, overlap: int) -> list[str]:
@@ -50,7 +51,7 @@ def chunk(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: En
     """id, chunk_index, text, token_count. Null and blank texts have no chunks. Only whole texts go to Python, in Arrow batches; there is
     no shuffle: the tails come from the neighbours in the same array."""
     size, overlap = int(cfg.chunk_tokens * cfg.chars_per_token), int(cfg.overlap_tokens * cfg.chars_per_token)
-    part = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_t"))
+    part = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 
 from ctxlake.functions.text import index_terms
 from ctxlake.functions.tokens import cosine
+from ctxlake.runtime import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """doc, dl, term, f: counted within the row, so the index is built without a shuffle."""
-    d = docs.select(F.col(id_col).alias("doc"), index_terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    return d.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
+    """doc, dl, term, f. A term's occurrences in a document are summed up before the shuffle."""
+    d = spread(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))).select("doc", index_terms("t").alias("t"))
+    counted = d.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return counted.groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.size(index_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
+    return spread(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))).select("doc", F.size(index_terms("t")).alias("dl"))
 
 
 def term_stats(posts: DataFrame, lens: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ctxlake.functions import text as T
 from ctxlake.functions import tokens as K
 from ctxlake.operators import activity, audit, boilerplate, chunking, compress, pack, pages, retrieval, sessions, store
 from ctxlake.plans.core_sql import oracle_sql
-from ctxlake.runtime import table
+from ctxlake.runtime import saved, spread, table
 from ctxlake.streaming import activity as streams
 from ctxlake.streaming.run import drain, parquet_stream
 
@@ -42,7 +42,7 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _logs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return spread(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
 
 
 def _log_text(s: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def _boxes(s: SparkSession, d: str) -> DataFrame:
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
     """Chunks as files of a tree."""
-    return table(s, d, "chunks").where("text IS NOT NULL").select(F.concat(F.substring("source_path", 2, 1000), F.lit("."), F.col("chunk_id").cast("string"), F.regexp_extract("source_path", r"(\.[a-z]+)$", 1)).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return spread(table(s, d, "chunks").where("text IS NOT NULL")).select(F.concat(F.substring("source_path", 2, 1000), F.lit("."), F.col("chunk_id").cast("string"), F.regexp_extract("source_path", r"(\.[a-z]+)$", 1)).alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
 def _vector(s: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = table(s, d, "chunks")
-    p, n = retrieval.postings(c, "chunk_id"), retrieval.lengths(c, "chunk_id")
+    p, n = saved(retrieval.postings(c, "chunk_id")), saved(retrieval.lengths(c, "chunk_id"))  # the stored index
     return p, n, retrieval.term_stats(p, n)
 
 
