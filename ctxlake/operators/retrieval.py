@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ctxlake.functions.text import index_terms
 from ctxlake.functions.tokens import cosine
@@ -48,7 +49,7 @@ def scores(posts: DataFrame, lens: DataFrame, stats: DataFrame, questions: DataF
 def normalised(scored: DataFrame) -> DataFrame:
     """q, doc, score: by the question's greatest score; 0 where none is above 0."""
     top = scored.groupBy("q").agg(F.max("bm25").alias("top"))
-    return scored.join(F.broadcast(top), "q").select("q", "doc", F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(F.lit(0.0)).alias("score"))
+    return scored.join(top, "q").select("q", "doc", F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def top_k(scored: DataFrame, lens: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -57,8 +58,10 @@ def top_k(scored: DataFrame, lens: DataFrame, questions: DataFrame, k: int) -> D
     fill = lens.orderBy("doc").limit(k).select("doc")
     zero = questions.select("q").crossJoin(F.broadcast(fill)).join(scored.select("q", "doc"), ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
     # A negative score still ranks below the zeros.
-    best = scored.select("q", "doc", "score").unionByName(zero).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc"))), 1, k).alias("c"))
-    return best.select("q", F.posexplode("c").alias("p", "c")).select("q", F.col("c.doc").alias("doc"), F.round(-F.col("c.s"), 4).alias("score"), (F.col("p") + 1).alias("rank"))
+    # A rank with a limit is cut down in every task before the shuffle, so a common term's documents never meet in one task.
+    w = W.Window.partitionBy("q").orderBy(F.desc("score"), "doc")
+    best = scored.select("q", "doc", "score").unionByName(zero).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("q", "doc", F.round("score", 4).alias("score"), "rank")
 
 
 def blend(scored: DataFrame, vectors: DataFrame, query_vector: Column, weight: float = 0.5) -> DataFrame:
