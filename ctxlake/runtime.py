@@ -63,6 +63,9 @@ def sample_by_hash(df: DataFrame, n: int, most: int, *ids: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its scan gives far fewer partitions, as one small file does; large inputs stay as they are read."""
+    """``df`` over all cores where its scan gives far fewer partitions, as one small file does; large inputs stay as they are read. Where there is a
+    shuffle already, nothing is done: asking an adaptive plan for its partitions would run it."""
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
