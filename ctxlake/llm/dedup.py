@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.runtime import checkpointed
+from ctxlake.runtime import checkpointed, spread
 
 WORD = re.compile(r"[^\W_]+")
 FAMILIES, BUCKETS, BAND = 12, 16, 4
@@ -177,7 +177,7 @@ def _verifying(threshold: float):
 def classes(items: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """From items (gid, part, text), compared within a part: members (gid, rep, n: size of the class of copies) and links (a, b, similarity) between
     the representatives of classes, a < b. The defaults are five words and 0.8."""
-    items = items.select("gid", "text", F.col("part").cast("long").alias("part")).where("text IS NOT NULL AND gid IS NOT NULL AND part IS NOT NULL")
+    items = spread(items.select("gid", "text", F.col("part").cast("long").alias("part")).where("text IS NOT NULL AND gid IS NOT NULL AND part IS NOT NULL"))
     banded = checkpointed(items.mapInArrow(_banding(size, min_words), "gid long, print binary, keys array<int>, sketch binary, n int"))
     groups = banded.groupBy("print").agg(F.min("gid").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     bands = groups.select("rep", F.posexplode("keys").alias("band", "k")).select("rep", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("k")).alias("key"))

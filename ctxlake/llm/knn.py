@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.runtime import checkpointed, shuffle_partitions
+from ctxlake.runtime import checkpointed, sample_by_hash, shuffle_partitions
 
 
 #: A vector without null or non-finite numbers and with one that is not 0.
@@ -179,7 +179,7 @@ def neighbours(
     reps = vecs.groupBy("model", "v").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.when(F.col("id") % query_every == 0, 1).otherwise(0)).alias("asks"))
     centroids: dict[str, np.ndarray] = {}
     for m, n in sorted(vecs.groupBy("model").agg(F.count("*").alias("n")).collect()):
-        rows = vecs.where(F.col("model") == m).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+        rows = sample_by_hash(vecs.where(F.col("model") == m), n, sample, "id").select("v").collect()
         x = np.frombuffer(b"".join(bytes(r.v) for r in rows), np.float32).reshape(len(rows), -1)
         centroids[m] = fit_centroids(x, max(1, min(round(n / list_size), sample // 8)))
     lists = max(map(len, centroids.values()), default=1)

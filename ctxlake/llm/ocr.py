@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.runtime import checkpointed
+from ctxlake.runtime import checkpointed, sample_by_hash, spread
 
 #: Parts of all trusted originals that hold a known word in lower case, or capitalised; and the smallest number of them.
 KNOWN_PART, KNOWN_SPREAD, KNOWN_COUNT = 1.5e-3, 6e-3, 3
@@ -474,7 +474,7 @@ def vocabulary(trusted: DataFrame) -> tuple[dict[str, int], frozenset[str]]:
     An original of m different words adds m to the sum of these parts, so at most m / KNOWN_PART words, some ten thousands, reach the driver. Also the sequences of
     three letters in at least GRAM_PART of all different words (no more than the alphabet allows)."""
     token = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{Nd}_./\\@#`-])\p{L}+(?![\p{L}\p{Nd}_/\\@]|[.][a-z]|\()"), F.lit(0))
-    rows = trusted.where("text IS NOT NULL").select(F.xxhash64("key").alias("key"), F.explode(token).alias("w"))
+    rows = spread(trusted.where("text IS NOT NULL")).select(F.xxhash64("key").alias("key"), F.explode(token).alias("w"))
     plain = (F.length("w") > 1) & (F.substring("w", 2, 64) == F.lower(F.substring("w", 2, 64)))
     rows = rows.select("key", F.lower("w").alias("lw"), (F.col("w") == F.lower("w")).cast("int").alias("low"), plain.cast("int").alias("noun"))
     per = rows.groupBy("lw", "key").agg(F.count("*").alias("n"), F.max("low").alias("low"), F.max("noun").alias("noun"))
@@ -492,7 +492,8 @@ def train(items: DataFrame, known: dict[str, int]) -> Editor | None:
     """An editor from a sample of SAMPLE_ITEMS items (by a hash of their ids)."""
     if not known:
         return None
-    rows = items.where("text IS NOT NULL").orderBy(F.xxhash64("item_kind", "item_id")).limit(SAMPLE_ITEMS).select("text").collect()
+    some = items.where("text IS NOT NULL")
+    rows = sample_by_hash(some, some.count(), SAMPLE_ITEMS, "item_kind", "item_id").select("text").collect()
     r, unknown, capitalised = Reader(known, None), Counter(), Counter()
     for row in rows:
         for w in {w for _, _, w in r.tokens(joined(row.text)) if " " not in w}:
@@ -520,7 +521,7 @@ def running(scanned: DataFrame) -> DataFrame:
 
 def damage(items: DataFrame, trusted: DataFrame) -> DataFrame:
     """From items (item_kind, item_id, key, text) and trusted texts (key, text): item_kind, item_id, defect."""
-    items = items.select("item_kind", "item_id", "key", "text")
+    items = spread(items.select("item_kind", "item_id", "key", "text"))
     scanned = checkpointed(items.mapInArrow(_scan(_models(items, trusted)), "item_kind string, item_id long, key string, damage array<string>, lines array<struct<line:int,sig:long,context:long>>"))
     single = scanned.select("item_kind", "item_id", F.explode("damage").alias("defect"))
     lines = running(scanned).select("item_kind", "item_id", F.lit("running_line").alias("defect"))
@@ -529,7 +530,7 @@ def damage(items: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def repair(items: DataFrame, trusted: DataFrame) -> DataFrame:
     """item_kind, item_id, text: the repaired text of every item."""
-    items = items.select("item_kind", "item_id", "key", "text")
+    items = spread(items.select("item_kind", "item_id", "key", "text"))
     shared = _models(items, trusted)
     scanned = checkpointed(items.mapInArrow(_scan(shared), "item_kind string, item_id long, key string, damage array<string>, lines array<struct<line:int,sig:long,context:long>>"))
     lines = running(scanned).groupBy("item_kind", "item_id").agg(F.collect_list("line").alias("drop"))

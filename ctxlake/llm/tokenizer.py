@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ctxlake.runtime import spread
+
 #: The word pattern of this vocabulary, a fixed value: contractions, then letters, digits, other signs, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 DEFAULT_FILE = "byte_bpe_50k.tiktoken"
@@ -169,7 +171,7 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ids: array of int."""
     file = path or vocabulary_path()
-    part = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_t"))
+    part = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
@@ -184,7 +186,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 def count_tokens(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """The ``keep`` columns and the number of ids of each text; 0 for null and empty texts."""
     file = path or vocabulary_path()
-    part = df.select(*keep, F.col(text_col).cast("string").alias("_t"))
+    part = spread(df.select(*keep, F.col(text_col).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
