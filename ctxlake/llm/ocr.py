@@ -46,7 +46,7 @@ BROKEN = re.compile(rf"(?<=[^\W\d_])[{MARKS}][ \t]*\n(?=[^\W\d_])")
 #: Words for "page" before a page number (fixed values).
 PAGE_WORDS = ("page", "seite", "página", "pagina", "blz", "стр", "страница", "p", "pp", "pg", "pag", "s", "f", "blatt", "hoja", "folio", "bladzijde", "sheet")
 ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
-_NUMBER = r"[0-9OoIlSsBb]{0,3}[0-9][0-9OoIlSsBb]{0,3}"
+_NUMBER = r"[0-9OoIlSsBb]{1,4}"
 _FRAME = r"[-–—·•\[\](){}|.*~_ ]{0,3}"
 NUMBER_LINE = re.compile(rf"{_FRAME}(?:([^\W\d_]{{1,10}})[.:]?\s*)?{_FRAME}({_NUMBER})(?:\s*(?:/|of|von|de|di|van|из|sur|-)\s*({_NUMBER}))?{_FRAME}")
 TABLE_ROW = re.compile(r"\s*(?:\|.*\||[^\W\d_][\w-]*\s{2,}[\d.,]+%?|\S+(?:\t\S+)+)\s*")
@@ -54,8 +54,10 @@ SHORT_ROW = re.compile(r"\s*[\d.,]+%?\s*")
 #: A token of running text: letters, possibly with foreign signs inside, not part of an identifier or path.
 TOKEN = re.compile(r"(?<![^\s(\[{«»\"“”„‘'’`])[(\[{«\"“„‘'`]*([^\W_][^\s/\\_#=(){}\[\]<>]*)")
 TRAIL = re.compile(r"[.,;:!?)\]}»\"”“'’`…]+$")
-LETTERS = re.compile(r"[^\W\d_]+")
-INSIDE = re.compile(r"[^\w]")
+WORD = re.compile(r"[^\W_]+")
+#: Signs that stray into words, and the letters that digits and @ are taken for (fixed values).
+INSIDE = re.compile(r"(?<=[^\W_])[~'|.`](?=[^\W_])")
+SHAPES_OF_DIGITS, SHAPES_OF_SIGNS = str.maketrans("01345678", "oleasbtb") | {ord("9"): "g"}, str.maketrans("@", "a")
 #: A word with one digit among its letters: no identifier of running text looks so, a misread name does.
 DIGIT_INSIDE = re.compile(r"(?=.{4})(?:[^\W\d_]+\d[^\W\d_]*|\d[^\W\d_]{3,})")
 NAME = re.compile(r"(?<![^\W_])[^\W\d_a-z][^\W\d_]+(?![^\W_])")
@@ -231,13 +233,13 @@ def examples_from(unknown: Counter, capitalised: Counter, known: dict[str, int],
 
 def page_number(line: str) -> bool:
     s = line.strip()
-    if not s or len(s) > 24:
+    if not s or len(s) > 24 or TABLE_ROW.fullmatch(s):
         return False
     bare = s.strip("-–—·•[]()|.* ").lower()
     if ROMAN.fullmatch(bare) and bare:
         return True
     m = NUMBER_LINE.fullmatch(s)
-    if not m or not any(c.isdigit() for c in m[2]):
+    if not m or any(g and sum(map(str.isdigit, g)) < max(1, len(g) - 1) for g in (m[2], m[3])):  # at most one misread digit
         return False
     word = (m[1] or "").lower()
     return not word or any(word == p or (len(p) > 3 and len(p) == len(word) and sum(a != b for a, b in zip(p, word)) == 1) for p in PAGE_WORDS)
@@ -265,13 +267,15 @@ def line_form(line: str) -> list[str]:
     if s[-1] in ".!?:;,)" and not s[-2:-1].isdigit():
         return []
     s = re.sub(r"^[\W_]*\d{1,4}\s{2,}|\s{2,}\d{1,4}[\W_]*$", "", s)
-    words = LETTERS.findall(unicodedata.normalize("NFC", s).lower())
+    s = INSIDE.sub("", unicodedata.normalize("NFC", s).lower().translate(SHAPES_OF_SIGNS))
+    words = [w if w.isalpha() else w.translate(SHAPES_OF_DIGITS) for w in WORD.findall(s) if not w.isdigit()]
     return words if 2 <= len(words) <= 9 else []
 
 
 def signatures(words: list[str]) -> list[int]:
-    """Hashes of the line and of the line without each of its words, so one misread word does not hide it."""
-    forms = [words] + ([words[:i] + ["*"] + words[i + 1 :] for i in range(len(words))] if len(words) >= 3 else [])
+    """Hashes of the line, of the line without blanks, and of the line without each of its words, so one misread or torn word
+    does not hide it."""
+    forms = [words, ["".join(words)]] + ([words[:i] + ["*"] + words[i + 1 :] for i in range(len(words))] if len(words) >= 3 else [])
     return [int.from_bytes(blake2b(" ".join(f).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for f in forms]
 
 
@@ -493,7 +497,7 @@ def train(items: DataFrame, known: dict[str, int]) -> Editor | None:
     if not known:
         return None
     some = items.where("text IS NOT NULL")
-    rows = sample_by_hash(some, some.count(), SAMPLE_ITEMS, "item_kind", "item_id").select("text").collect()
+    rows = sample_by_hash(some, items.count(), SAMPLE_ITEMS, "item_kind", "item_id").select("text").collect()
     r, unknown, capitalised = Reader(known, None), Counter(), Counter()
     for row in rows:
         for w in {w for _, _, w in r.tokens(joined(row.text)) if " " not in w}:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxlake.llm import dedup, knn, language, lookalike, mixing, ocr, runs, split, tokenizer
-from ctxlake.runtime import table
+from ctxlake.runtime import spread, table
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def p5_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def _originals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Paged originals (item_kind, item_id, key, text), each page once, and the texts that never saw a scanner (key, text)."""
-    pages, chunks = table(spark, d, "page_results"), table(spark, d, "chunks")
+    pages, chunks = table(spark, d, "page_results"), spread(table(spark, d, "chunks"))
     once = pages.groupBy("page_id").agg(F.max(F.struct("doc_key", "text", "method")).alias("p")).select(F.lit("page").alias("item_kind"), F.col("page_id").alias("item_id"), F.col("p.doc_key").alias("key"), "p.text")
     scans = chunks.where(r"source_path RLIKE '[.](pdf|png|tiff|jpg)$'").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("source_path").alias("key"), "text")
     born = pages.where("method = 'native_text'").select(F.col("doc_key").alias("key"), "text")
