@@ -6,6 +6,10 @@ block, the partial squared distance over d of D rotated columns, scaled by D/d,
 candidate is abandoned once the estimate exceeds the bound by the margin (1 + eps / sqrt(d)) of a hypothesis test.
 Survivors have their exact cosine.
 
+Where a least cosine is given and no number of probes, nothing is lost: a query goes to every list that can hold such a
+vector, by its distance from the plane between the list's centroid and its own nearest one and by the angles of the list's
+members, and columns abandon a candidate only once its partial distance itself exceeds the bound.
+
 Hot groups: identical vectors are searched once, their copies are linked through a common class. A list of any length is
 cut into blocks of at most ``block`` vectors, each its own task unit; queries go to every block of a list they probe.
 
@@ -79,15 +83,18 @@ def block_bounds(d: int, step: int) -> list[tuple[int, int]]:
     return [(i, min(i + step, d)) for i in range(0, d, step)]
 
 
-def scan(q: np.ndarray, base: np.ndarray, bound: np.ndarray, k: int, eps: float, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, base: np.ndarray, bound: np.ndarray, k: int, eps: float | None, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (query, base, cosine) of up to k nearest of each query with squared distance of at most ``bound``.
-    All queries of a probe pass over a column block together, as one product of matrices; then the test abandons pairs."""
+    All queries of a probe pass over a column block together, as one product of matrices; then the test abandons pairs. Without ``eps`` only what certainly lies beyond the bound is abandoned."""
     d = q.shape[1]
     blocks = block_bounds(d, step)
+
+    def reach(hi: int) -> float:
+        return d / hi if eps is None else (1 + eps / np.sqrt(hi)) ** 2
+
     lo, hi = blocks[0]
     part = ((q[:, lo:hi] ** 2).sum(1)[:, None] + (base[:, lo:hi] ** 2).sum(1)[None, :]) - 2 * (q[:, lo:hi] @ base[:, lo:hi].T)
-    reach = (1 + eps / np.sqrt(hi)) ** 2
-    qi, bi = np.nonzero(part * (d / hi) <= bound[:, None] * reach)
+    qi, bi = np.nonzero(part * (d / hi) <= bound[:, None] * reach(hi) + 1e-5)
     dist = part[qi, bi]
     for lo, hi in blocks[1:]:
         if not len(qi):
@@ -98,8 +105,7 @@ def scan(q: np.ndarray, base: np.ndarray, bound: np.ndarray, k: int, eps: float,
         else:
             dist = dist + ((q[qi, lo:hi] - base[bi, lo:hi]) ** 2).sum(1)
             part[qi, bi] = dist
-        reach = (1 + eps / np.sqrt(hi)) ** 2 if hi < d else 1.0
-        keep = dist * (d / hi) <= bound[qi] * reach + 1e-6
+        keep = dist * (d / hi) <= bound[qi] * (reach(hi) if hi < d else 1.0) + 1e-5
         qi, bi, dist = qi[keep], bi[keep], dist[keep]
     return qi, bi, 1 - np.einsum("ij,ij->i", q[qi] - base[bi], q[qi] - base[bi]) / 2 if len(qi) else np.zeros(0, np.float32)
 
@@ -167,14 +173,144 @@ def _nearest(k: int, min_cosine: float, eps: float, step: int):
     return run
 
 
+def _may_hold(sim: np.ndarray, c: np.ndarray, lists: np.ndarray, min_cosine: float) -> np.ndarray:
+    """Which of ``lists`` can hold a vector with ``min_cosine`` to a query. Members of a list lie on its centroid's side of the
+    plane between that and any other centroid; from a query at distance t beyond that plane none has a cosine above sqrt(1 - t^2)."""
+    if min_cosine <= 0:
+        return np.ones((len(sim), len(lists)), bool)
+    own = sim.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * (c @ c[lists].T), 0))[own]
+    return sim[np.arange(len(sim)), own][:, None] - sim[:, lists] <= np.sqrt(1 - min_cosine**2) * apart + 1e-5
+
+
+def _route(centroids: dict[str, np.ndarray], groups: dict[str, list[np.ndarray]], min_cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            model, raw = np.asarray(b.column(0).to_pylist(), object), b.column(1).to_pylist()
+            to: list = [None] * b.num_rows
+            for m in set(model):
+                rows, c = np.flatnonzero(model == m), centroids[m]
+                for i in range(0, len(rows), 1024):
+                    part = rows[i : i + 1024]
+                    x = np.frombuffer(b"".join(raw[r] for r in part), np.float32).reshape(len(part), -1)
+                    sim = x @ c.T
+                    asked = np.stack([_may_hold(sim, c, lists, min_cosine).any(1) for lists in groups[m]], 1)
+                    for r, a in zip(part, asked):
+                        to[r] = np.flatnonzero(a).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.int32()))], names=[*b.schema.names, "groups"])
+
+    return run
+
+
+def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: int):
+    """Like _nearest, for units of several lists, each compared with all queries whose neighbours it can hold."""
+    most, alpha = np.float32(2 - 2 * min_cosine), np.arccos(max(-1.0, min_cosine))
+
+    def answer(ids, q, c, lists, members):
+        sim = q @ c.T
+        may, angle, found = _may_hold(sim, c, lists, min_cosine), np.arccos(np.clip(sim[:, lists], -1, 1)), []
+        for j, (base_ids, base, lo, hi) in enumerate(members):
+            rows = np.flatnonzero(may[:, j] & (angle[:, j] <= hi + alpha + 1e-3) & (angle[:, j] >= lo - alpha - 1e-3))
+            for i in range(0, len(base) if len(rows) else 0, 4096):
+                qi, bi, cos = scan(q[rows], base[i : i + 4096], np.full(len(rows), most, np.float32), k, None, step)
+                keep = (ids[rows[qi]] != base_ids[i + bi]) & (cos >= min_cosine)
+                found.append((rows[qi[keep]], base_ids[i + bi[keep]], cos[keep]))
+        qi, o, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.lexsort((o, -cos, qi))
+        qi, o, cos = qi[order], o[order], cos[order]
+        top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        return ids[qi[top]], o[top], cos[top].astype(np.float64)
+
+    def by_list(c, base):
+        ids, own, x = (np.concatenate(a) for a in zip(*base))
+        lists = np.unique(own)
+        angle, members = np.arccos(np.clip(np.einsum("ij,ij->i", x, c[own]), -1, 1)), []
+        for j in lists:
+            r = np.flatnonzero(own == j)
+            members.append((ids[r], x[r], angle[r].min(), angle[r].max()))
+        return lists, members
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, base, held = None, [], None
+        for b in batches:
+            unit = list(zip(*(b.column(i).to_pylist() for i in range(5))))
+            own, ids, raw = np.asarray(b.column(5)), np.asarray(b.column(6)), b.column(7).to_pylist()
+            cuts = [0, *(i for i in range(1, len(unit)) if unit[i] != unit[i - 1]), len(unit)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if unit[lo][:4] != key:
+                    key, base, held = unit[lo][:4], [], None
+                x = np.frombuffer(b"".join(raw[lo:hi]), np.float32).reshape(hi - lo, -1)
+                if unit[lo][4] == 0:
+                    base.append((ids[lo:hi], own[lo:hi], x))
+                elif base or held:
+                    if held is None:
+                        held, base = by_list(centroids[key[0]], base), []
+                    for i in range(0, hi - lo, 2048):
+                        got = answer(ids[lo + i : min(hi, lo + i + 2048)], x[i : i + 2048], centroids[key[0]], *held)
+                        if len(got[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(a) for a in got], names=["q", "o", "cosine"])
+
+    return run
+
+
+def _all_near(placed: DataFrame, centroids: dict[str, np.ndarray], k: int, min_cosine: float, block: int, step: int) -> DataFrame:
+    """q, o, cosine: nothing left out. Neighbouring lists form groups, about six a model, of ``block`` to 64 times as many
+    vectors; a unit is a group (a block of it, where one list exceeds that) and a slice of the queries, so vectors move seldom."""
+    counts: dict[str, np.ndarray] = {m: np.zeros(len(c), np.int64) for m, c in centroids.items()}
+    for r in placed.groupBy("model", F.col("near")[0].alias("list")).count().collect():
+        counts[r.model][r.list] = r["count"]
+    groups, of_list, of_group = {}, [], []
+    for m, c in centroids.items():
+        most = min(64 * block, max(block, -(-int(counts[m].sum()) // 6)))
+        side = np.argmax(c @ fit_centroids(c, max(1, int(counts[m].sum()) // most)).T, 1)
+        filled, of = most, []
+        for j in np.argsort(side, kind="stable").tolist():
+            if filled + counts[m][j] > most:
+                of.append([])
+                filled = 0
+            of[-1].append(j)
+            filled += int(counts[m][j])
+        groups[m] = [np.asarray(js) for js in of]
+        for g, js in enumerate(of):
+            blocks = max(1, -(-int(counts[m][js].sum()) // most))
+            of_list += [(m, j, g, blocks) for j in js]
+            of_group.append((m, g, blocks))
+    spark, parts = placed.sparkSession, shuffle_partitions(placed)
+    slices = max(1, -(-3 * parts // max(1, len(of_group))))
+    slice_of = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int")
+    lists = F.broadcast(spark.createDataFrame(of_list, "model string, list int, group int, blocks int"))
+    base = placed.select("model", F.col("near")[0].alias("list"), "id", "v").join(lists, ["model", "list"])
+    base = base.select("model", "group", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("role"), "list", "id", "v")
+    asked = placed.where("asks = 1").select("model", "v", "id").mapInArrow(_route(centroids, groups, min_cosine), "model string, v binary, id long, groups array<int>")
+    asked = asked.select("model", F.explode("groups").alias("group"), "id", "v").join(F.broadcast(spark.createDataFrame(of_group, "model string, group int, blocks int")), ["model", "group"])
+    asked = asked.select("model", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_of.alias("slice"), F.lit(1).alias("role"), F.lit(0).alias("list"), "id", "v")
+    work = base.unionByName(asked).repartition(parts, "model", "group", "block", "slice").sortWithinPartitions("model", "group", "block", "slice", "role")
+    return work.mapInArrow(_every(k, min_cosine, centroids, step), "q long, o long, cosine double")
+
+
+def _probed(placed: DataFrame, centroids: dict[str, np.ndarray], k: int, min_cosine: float, block: int, eps: float, step: int) -> DataFrame:
+    """q, o, cosine, of the lists each query looks into."""
+    spark = placed.sparkSession
+    sizes = placed.groupBy("model", F.col("near")[0].alias("list")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).collect()
+    many = {(r.model, r.list): r.blocks for r in sizes}
+    units = spark.createDataFrame([(m, i, many.get((m, i), 0)) for m, c in centroids.items() for i in range(len(c))], "model string, list int, blocks int")
+    base = placed.select("model", F.col("near")[0].alias("list"), "id", "v").join(F.broadcast(units), ["model", "list"])
+    base = base.select("model", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
+    ask = placed.where("asks = 1").select("model", F.explode("near").alias("list"), "id", "v").join(F.broadcast(units.where("blocks > 0")), ["model", "list"])
+    ask = ask.select("model", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "v")
+    work = base.unionByName(ask).repartition(shuffle_partitions(placed), "model", "list", "block").sortWithinPartitions("model", "list", "block", "role")
+    return work.mapInArrow(_nearest(k, min_cosine, eps, step), "q long, o long, cosine double")
+
+
 def neighbours(
-    df: DataFrame, id_col: str = "chunk_id", model: str = "model", vector: str = "vector", k: int = 5, min_cosine: float = -1.0, query_every: int = 1, list_size: int = 256, probes: int | float = 8, sample: int = 20_000, block: int = 2048, eps: float = 2.1, step: int = 16
+    df: DataFrame, id_col: str = "chunk_id", model: str = "model", vector: str = "vector", k: int = 5, min_cosine: float = -1.0, query_every: int = 1, list_size: int = 256, probes: int | float | None = 8, sample: int = 20_000, block: int = 2048, eps: float = 2.1, step: int = 16
 ) -> DataFrame:
     """id, other, cosine, rank: up to k nearest others of each vector (of those whose id is divisible by ``query_every``)
     with a cosine of at least ``min_cosine``. Centroids are fitted on at most ``sample`` vectors of a model (by a hash of
     the id); there are about n / list_size of them, sample / 8 at most. ``probes``: lists a query looks into, as a number or, under 1,
-    as a part of all lists. The driver gets the models, that sample, and a count for each list."""
-    spark = df.sparkSession
+    as a part of all lists; None for every list that can hold a vector of ``min_cosine``. The driver gets the models, that sample, and a count for each list."""
     vecs = checkpointed(clean(df, id_col, model, vector))
     reps = vecs.groupBy("model", "v").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.when(F.col("id") % query_every == 0, 1).otherwise(0)).alias("asks"))
     centroids: dict[str, np.ndarray] = {}
@@ -183,17 +319,9 @@ def neighbours(
         x = np.frombuffer(b"".join(bytes(r.v) for r in rows), np.float32).reshape(len(rows), -1)
         centroids[m] = fit_centroids(x, max(1, min(round(n / list_size), sample // 8)))
     lists = max(map(len, centroids.values()), default=1)
-    looks = max(1, round(probes * lists)) if probes < 1 else int(probes)
+    looks = 1 if probes is None else max(1, round(probes * lists)) if probes < 1 else int(probes)
     placed = checkpointed(reps.select("model", "v", "id", "n", "asks").mapInArrow(_probe(centroids, looks), "model string, v binary, id long, n long, asks int, near array<int>"))
-    sizes = placed.groupBy("model", F.col("near")[0].alias("list")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).collect()
-    many = {(r.model, r.list): r.blocks for r in sizes}
-    units = spark.createDataFrame([(m, i, many.get((m, i), 0)) for m, c in centroids.items() for i in range(len(c))], "model string, list int, blocks int")
-    base = placed.select("model", F.col("near")[0].alias("list"), "id", "v").join(F.broadcast(units), ["model", "list"])
-    base = base.select("model", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
-    ask = placed.where("asks = 1").select("model", F.explode("near").alias("list"), "id", "v").join(F.broadcast(units.where("blocks > 0")), ["model", "list"])
-    ask = ask.select("model", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "v")
-    work = base.unionByName(ask).repartition(shuffle_partitions(df), "model", "list", "block").sortWithinPartitions("model", "list", "block", "role")
-    near = work.mapInArrow(_nearest(k, min_cosine, eps, step), "q long, o long, cosine double")
+    near = _all_near(placed, centroids, k, min_cosine, block, step) if probes is None else _probed(placed, centroids, k, min_cosine, block, eps, step)
     near = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "o"))), 1, k).alias("c")).select("q", F.explode("c").alias("c")).select("q", "c.o", (-F.col("c.d")).alias("cosine"))
     return _with_copies(vecs, placed.select("model", "v", F.col("id").alias("rep"), "n"), near, k, query_every)
 
@@ -211,7 +339,7 @@ def _with_copies(vecs: DataFrame, reps: DataFrame, near: DataFrame, k: int, quer
     return best.select("id", F.posexplode("c").alias("p", "c")).select("id", "c.other", (-F.col("c.d")).alias("cosine"), (F.col("p") + 1).alias("rank"))
 
 
-def near_pairs(df: DataFrame, k: int = 5, min_cosine: float = 0.9, **how) -> DataFrame:
+def near_pairs(df: DataFrame, k: int = 5, min_cosine: float = 0.9, probes: int | float | None = None, **how) -> DataFrame:
     """a, b (a < b), where one is among the k nearest of the other and their cosine is at least ``min_cosine``."""
-    n = neighbours(df, k=k, min_cosine=min_cosine - 1e-6, **how).where(F.col("cosine") >= min_cosine - 1e-7)
+    n = neighbours(df, k=k, min_cosine=min_cosine - 1e-6, probes=probes, **how).where(F.col("cosine") >= min_cosine - 1e-7)
     return n.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()

@@ -221,6 +221,27 @@ def test_pairs_equal_brute_force(spark):
     assert len(near & true) >= 0.97 * len(true)
 
 
+def test_no_pair_is_lost_among_many_lists(spark):
+    """Pairs just above the least cosine, whose members lie in different lists; one list far larger than the others."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 32))
+    x[2500:] = x[0] + 0.3 * rng.standard_normal((500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((1500, 32))
+    away -= (away * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.93, (1500, 1))
+    x = np.concatenate([x, cos * x[:1500] + np.sqrt(1 - cos**2) * away]).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(x)], "chunk_id long, model string, vector array<float>")
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, 1, kind="stable")[:, :5]
+    want = {(min(i, j), max(i, j)) for i in range(len(s)) for j in top[i].tolist() if s[i, j] >= 0.9}
+    for how in ({}, {"block": 4}):
+        assert {tuple(r) for r in knn.near_pairs(df, list_size=8, **how).collect()} == want
+
+
 def test_hot_copies_of_a_vector(spark):
     df = spark.createDataFrame([(i, "m", [1.0, 2.0, 3.0]) for i in range(200)] + [(500 + i, "m", [1.0, 2.0, 3.1 + i]) for i in range(3)], "chunk_id long, model string, vector array<float>")
     n = knn.neighbours(df, k=3)
