@@ -26,8 +26,6 @@ from pyspark.sql import types as T
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝӏҮԌӀ", "ABESIJKMHOPCTYXaeopcyxsijhdqwlYGI")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳϹͿ", "ABEZHIKMNOPTYXocjCJ")
 ARMENIAN = ("ՕՍոսօհյ", "OUnuohj")
-#: The same, with an accent.
-ACCENTED = ("ЁёЇїЙй", "ËëÏïЙй")
 #: Breaking and non-breaking hyphens, spaces of letter width that do not break.
 SIGNS = ("‐‑   　", "--    ")
 #: Characters that print nothing, besides those of the Unicode categories Cf and Cc.
@@ -38,16 +36,23 @@ VISIBLE_CONTROLS = "\t\n\r\x0b\x0c\x85"
 @lru_cache(maxsize=1)
 def mapping() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     """Characters with one substitute, those substitutes, characters to delete, and joined letters with their parts;
-    from the rules of Unicode's compatibility forms, besides the short lists above."""
+    from the rules of Unicode's compatibility forms, besides the short lists above. A letter composed of a listed one and
+    marks becomes the substitute with the same marks, as its decomposed form does; where these have no single code point, it
+    counts as joined."""
     one, joined, gone = {}, {}, list(BLANKS)
     for table in (CYRILLIC, GREEK, ARMENIAN, SIGNS):
         one.update(zip(*table))
-    one.update({a: b for a, b in zip(*ACCENTED) if a != b})
+    letters = dict(one)
     for c in map(chr, range(sys.maxunicode + 1)):
         kind = unicodedata.category(c)
         if kind == "Cf" or (kind == "Cc" and c not in VISIBLE_CONTROLS) or 0xFE00 <= ord(c) <= 0xFE0F or 0x180B <= ord(c) <= 0x180F or 0xE0100 <= ord(c) <= 0xE01EF:
             gone.append(c)
             continue
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) > 1 and apart[0] in letters:
+            to = unicodedata.normalize("NFC", letters[apart[0]] + apart[1:])
+            one.update({c: to}) if len(to) == 1 else joined.update({c: to})
+            continue
         tag, _, rest = unicodedata.decomposition(c).partition(" ")
         if tag in ("<wide>", "<narrow>") and c not in BLANKS:
             to = "".join(one.get(x, x) for x in unicodedata.normalize("NFKC", c))
@@ -59,14 +64,14 @@ def mapping() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
 
 def skeleton(c: Column) -> Column:
     """The mapped text, all in the JVM. Deleting is what translate does with characters beyond the substitutes. Joined
-    letters of two parts are spelt through one pass each, and only in texts that hold any."""
+    letters of two parts, and letters with marks, are spelt through one pass each, and only in texts that hold any."""
     src, dst, gone, joined = mapping()
     out = F.translate(c, src + gone, dst)
+    parts = [(a, b) for a, b in joined if unicodedata.normalize("NFD", a) != a or len(b) <= 3 and unicodedata.name(a, "").startswith(("LATIN", "ARMENIAN", "HEBREW"))]
     spelt = out
-    for a, b in joined:
-        if len(b) <= 3 and unicodedata.name(a, "").startswith(("LATIN", "ARMENIAN", "HEBREW")):
-            spelt = F.replace(spelt, F.lit(a), F.lit(b))
-    return F.when(out.rlike(f"[{''.join(a for a, b in joined if len(b) <= 3)}]"), spelt).otherwise(out)
+    for a, b in parts:
+        spelt = F.replace(spelt, F.lit(a), F.lit(b))
+    return F.when(out.rlike(f"[{''.join(a for a, _ in parts)}]"), spelt).otherwise(out)
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -408,3 +408,18 @@ def test_lookalikes(spark):
     assert {forms[i] for i in (*range(n), 50)} == {(0, SAME[0])} and len({forms[n + i] for i in range(len(OTHER))}) == len(OTHER)
     assert all(forms[i] == (None, None) for i in (60, 61, 62, 63)) and len(forms) == len(rows)
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+
+
+def test_lookalikes_with_accents(spark):
+    """Composed and decomposed spelling, and the Latin letter with the same accent; another accent is a difference."""
+    letters = "".join(t[0] for t in (lookalike.CYRILLIC, lookalike.GREEK, lookalike.ARMENIAN))
+    every = [c for c in map(chr, range(0x370, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in letters]
+    assert {*"όΌΆΈΫўЎЌѐӓЁї"} <= set(every)
+    texts = [f"{form} {i} word" for i, c in enumerate(every) for form in (c, unicodedata.normalize("NFD", c))]
+    more = ["λόγος ὁ", unicodedata.normalize("NFD", "λόγος ὁ"), "Ά", "Á", "À", "А", "ў", "y̆", "y", "й", unicodedata.normalize("NFD", "й"), "и"]
+    df = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
+    n = len(texts)
+    want = {(i, i + 1) for i in range(0, n, 2) if texts[i] != texts[i + 1]} | {(n + a, n + b) for a, b in ((0, 1), (2, 3), (6, 7), (9, 10))}
+    assert {tuple(r) for r in lookalike.lookalike_pairs(df).collect()} == want
+    forms = {r.doc_id: r.class_id for r in lookalike.unify(df).collect()}
+    assert all(forms[a] == forms[b] for a, b in want) and len(set(forms.values())) == len(forms) - len(want)
