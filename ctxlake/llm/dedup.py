@@ -194,18 +194,25 @@ def classes(items: DataFrame, size: int = 5, min_words: int = 20, threshold: flo
     return members, links
 
 
-def near_pairs(items: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int = 10_000) -> DataFrame:
-    """a, b (a < b) of all records at or above the threshold, copies included."""
+def near_pairs(items: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int | None = None, salts: int = 64) -> DataFrame:
+    """a, b (a < b) of all records at or above the threshold, copies included. With ``most``, members of a class or two classes of more pairs than
+    that are only linked through the least id. Classes of over 10,000 pairs are written out by ``salts`` tasks."""
     members, links = classes(items, size, min_words, threshold)
     links = checkpointed(links)
     copies = members.where("n > 1")
     named = lambda m, g, r, n: m.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("n").alias(n))
-    small = named(copies.where(F.col("n") * (F.col("n") - 1) <= 2 * most), "a", "r", "n").join(named(copies.where(F.col("n") * (F.col("n") - 1) <= 2 * most), "b", "r", "m"), "r").where("a < b").select("a", "b")
-    large = copies.where((F.col("n") * (F.col("n") - 1) > 2 * most) & (F.col("gid") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("gid").alias("b"))
+    hot = F.col("n") * (F.col("n") - 1) > 2 * (10_000 if most is None else most)
+    small = named(copies.where(~hot), "a", "r", "n").join(named(copies.where(~hot), "b", "r", "m"), "r").where("a < b").select("a", "b")
+    if most is None:
+        left = named(copies.where(hot), "a", "r", "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+        right = named(copies.where(hot), "b", "r", "m").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        large = left.join(right, ["r", "salt"]).where("a < b").select("a", "b")
+    else:
+        large = copies.where(hot & (F.col("gid") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("gid").alias("b"))
     # Links to classes of several members: one side after the other, as most classes have one member.
     l = links.select("a", "b").join(copies.select(F.col("gid").alias("ma"), F.col("rep").alias("a"), F.col("n").alias("na")), "a", "left")  # noqa: E741
     sizes = copies.where("gid = rep").select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-    l = l.join(sizes, "b", "left").withColumn("whole", F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= most)  # noqa: E741
+    l = l.join(sizes, "b", "left").withColumn("whole", F.lit(True) if most is None else F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= most)  # noqa: E741
     wide = l.where("whole").join(copies.select(F.col("gid").alias("mb"), F.col("rep").alias("b")), "b", "left")
     wide = wide.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
     star = l.where("NOT whole").select(F.coalesce("ma", "a").alias("a"), "b")

@@ -71,6 +71,18 @@ def test_near_pairs_equal_brute_force(spark):
     assert groups(few) == groups(want)
 
 
+def test_large_classes_are_written_out(spark):
+    """Texts with the same shingles but other case and white space, more than 141 of them, and a class near to them."""
+    rng = random.Random(6)
+    one = prose(rng, 60)
+    other = [*one[:50], *prose(rng, 10)]
+    texts = [(" " * (1 + i % 3)).join(w.upper() if j == i // 3 else w for j, w in enumerate(one)) for i in range(160)]
+    texts += [(" " * (1 + i % 2)).join(w.upper() if j == i // 2 else w for j, w in enumerate(other)) for i in range(80)] + [texts[3]] * 3
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "gid long, part int, text string")
+    got = [tuple(r) for r in dedup.near_pairs(df, 3, 20, 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))}
+
+
 def test_near_pairs_keep_parts_apart_and_take_nothing(spark):
     t = " ".join(prose(random.Random(1), 40))
     assert dedup.near_pairs(spark.createDataFrame([(1, 0, t), (2, 1, t)], "gid long, part int, text string")).count() == 0
