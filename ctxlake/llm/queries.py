@@ -122,5 +122,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p6_found", "p6_text", "p7_ids", "p8_mix", "p8_shares", "p8_order", "p9_found", "p9_forms")
+    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p6_found", "p6_text", "p7_ids", "p8_order", "p8_mix", "p8_shares", "p9_found", "p9_forms")
     return {n: globals()[n] for n in names}

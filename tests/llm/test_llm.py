@@ -393,6 +393,10 @@ def test_curriculum(spark):
     assert abs(sum(r.n_tokens for r in c if r.source == "web" and r.position < 0.5) / sum(r.n_tokens for r in c if r.source == "web") - 0.5) < 0.02
 
 
+def test_first_query_of_the_mix_gives_positions():
+    assert next(n for n in queries.queries() if n.startswith("p8_")) == "p8_order"
+
+
 def test_mix_of_dirty_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "web", "one two"), (2, None, "x"), (3, "web", None), (4, "web", ""), (5, "other", "z"), (1, "web", "one two")], "doc_id long, source string, text string").withColumn("n_tokens", F.lit(7))
     t = spark.createDataFrame([("web", 1.0, None), ("web", None, 3)], "source string, target_share double, max_repeats int")
