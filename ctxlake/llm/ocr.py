@@ -3,13 +3,18 @@
 Method: an averaged perceptron edits characters. For every character of a suspicious word it predicts keep, delete, replace by x
 or insert x; for the blank or the hyphen and line end between two word parts, keep or join. It is trained here, on a bounded sample:
 words of the corpus that its trusted texts do not know, aligned with near words that they do know, beside words to be kept. A
-correction counts only if it leads to a known word. Running lines and page numbers go by their place on the page and
-their form, running lines by their recurrence in items of the same original too.
+correction counts only if it leads to a known word. A hyphen at a line end stays where the vocabulary knows the compound or both of
+its parts, goes where it knows the whole word, and is left to the perceptron elsewhere.
+
+Running lines and page numbers go by their place: on a page, among the first or last lines; in a chunk, which may hold page
+borders anywhere, by its ends, blank lines and page numbers beside. The better a line is set off, the less its form matters. A running
+line must recur in items of the same original too, apart from digits and misread characters.
 
 Statistics cover all data: the vocabulary counts in how many trusted originals each word occurs, and lines are counted over all items. Only the perceptron's examples are a sample.
 
 Defined results: null, empty and blank texts have no damage and stay as they are; rows delivered twice count once; an item
-without key has no running lines; with no trusted text at all nothing counts as misread; other columns are ignored.
+without key has no running lines; with no trusted text at all nothing counts as misread and every word part before a mark at a line end is
+joined to the next; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +45,15 @@ NAME_GAIN = -20.0
 ROWS = 1 << 14
 MISREADS = 3
 RECURS = 3
+#: Lines from either end of a page that count as its edge.
+EDGE = 3
 
 MARKS = "-‐\xad¬"
-BROKEN = re.compile(rf"(?<=[^\W\d_])[{MARKS}][ \t]*\n(?=[^\W\d_])")
+#: A mark behind a letter at a line end, and what follows it in the next line; a blank after that becomes the line break.
+BREAK = re.compile(rf"[{MARKS}](?<=[^\W\d_].)[ \t]*\n([^\W\d_]\S*) ?")
+LETTERS, LAST_LETTERS = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]+\Z")
+#: Gains from which a blank within a word, and a hyphen at a line end between parts the vocabulary does not know, are deleted.
+JOIN_GAIN, BREAK_GAIN = -10.0, 0.0
 #: Words for "page" before a page number (fixed values).
 PAGE_WORDS = ("page", "seite", "página", "pagina", "blz", "стр", "страница", "p", "pp", "pg", "pag", "s", "f", "blatt", "hoja", "folio", "bladzijde", "sheet")
 ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
@@ -53,14 +64,16 @@ TABLE_ROW = re.compile(r"\s*(?:\|.*\||[^\W\d_][\w-]*\s{2,}[\d.,]+%?|\S+(?:\t\S+)
 SHORT_ROW = re.compile(r"\s*[\d.,]+%?\s*")
 #: A token of running text: letters, possibly with foreign signs inside, not part of an identifier or path.
 TOKEN = re.compile(r"(?<![^\s(\[{«»\"“”„‘'’`])[(\[{«\"“„‘'`]*([^\W_][^\s/\\_#=(){}\[\]<>]*)")
+OPENING = re.compile(r"^[(\[{«\"“„‘'`]+")
 TRAIL = re.compile(r"[.,;:!?)\]}»\"”“'’`…]+$")
 WORD = re.compile(r"[^\W_]+")
 #: Signs that stray into words, and the letters that digits and @ are taken for (fixed values).
-INSIDE = re.compile(r"(?<=[^\W_])[~'|.`](?=[^\W_])")
+INSIDE = re.compile(r"[~'|.`](?<=[^\W_].)(?=[^\W_])")
 SHAPES_OF_DIGITS, SHAPES_OF_SIGNS = str.maketrans("01345678", "oleasbtb") | {ord("9"): "g"}, str.maketrans("@", "a")
 #: A word with one digit among its letters: no identifier of running text looks so, a misread name does.
 DIGIT_INSIDE = re.compile(r"(?=.{4})(?:[^\W\d_]+\d[^\W\d_]*|\d[^\W\d_]{3,})")
 NAME = re.compile(r"(?<![^\W_])[^\W\d_a-z][^\W\d_]+(?![^\W_])")
+NUMBER_AT_END = re.compile(r"^[\W_]*\d{1,4}\s{2,}|\s{2,}\d{1,4}[\W_]*$")
 PARTS = re.compile("['’-]")
 HASHLIKE = re.compile(r"[0-9a-f]{7,}|v\d.*|[^\W\d_]*\d{2,}[^\W\d_]*", re.I)
 
@@ -118,6 +131,11 @@ class Editor:
                     by.setdefault(c, set()).add(at[o])
         return cls(ops, total / max(1, step), {c: sorted(o) for c, o in by.items()})
 
+    def join_gain(self, a: str, between: str, b: str) -> float:
+        """How much deleting what is between two parts is preferred to keeping it."""
+        s = self.scores([a + between + b])[len(a) : len(a) + len(between)]
+        return float((s[:, 1] - s[:, 0]).sum())
+
     def scores(self, words: list[str]) -> np.ndarray:
         """[characters of all words, operations]"""
         f = _features_of(words)
@@ -224,16 +242,18 @@ def examples_from(unknown: Counter, capitalised: Counter, known: dict[str, int],
             i = int(rng.integers(2, len(w) - 1))
             for sep in (" ", "-\n"):
                 torn.append((w[:i] + sep + w[i:], [""] * i + ["-"] * len(sep) + [""] * (len(w) - i)))
-    apart = [(a + " " + b, [""] * (len(a) + len(b) + 1)) for a, b in zip(words[: most // 8], reversed(words[: most // 8])) if a + b not in known]
+    beside = [(a, b) for a, b in zip(words[: most // 8], reversed(words[: most // 8])) if a + b not in known]
+    apart = [(a + sep + b, [""] * (len(a) + len(b) + len(sep))) for a, b in beside for sep in (" ", "-\n")]
     return good[: most // 2] + kept + torn + apart
 
 
 # ---------------------------------------------------------------- reading an item
 
 
-def page_number(line: str) -> bool:
+def page_number(line: str, set_off: bool = False) -> bool:
+    """Whether the line holds only a page number. Where it is ``set_off``, what looks like a table row may be one in a frame."""
     s = line.strip()
-    if not s or len(s) > 24 or TABLE_ROW.fullmatch(s):
+    if not s or len(s) > 24 or (TABLE_ROW.fullmatch(s) and not set_off):
         return False
     bare = s.strip("-–—·•[]()|.* ").lower()
     if ROMAN.fullmatch(bare) and bare:
@@ -245,13 +265,17 @@ def page_number(line: str) -> bool:
     return not word or any(word == p or (len(p) > 3 and len(p) == len(word) and sum(a != b for a, b in zip(p, word)) == 1) for p in PAGE_WORDS)
 
 
-def number_lines(lines: list[str], is_page: bool, edge: int = 3) -> list[int]:
+def number_lines(lines: list[str], is_page: bool) -> list[int]:
     """Lines that hold only a page number: on pages among the first or last lines; elsewhere not beside table rows."""
-    visible = [i for i, x in enumerate(lines) if x.strip()]
+    short = [i for i, x in enumerate(lines) if 0 < len(x if len(x) < 25 else x.strip()) < 25 and not x.isspace()]
+    if not short:
+        return []
+    visible = [i for i, x in enumerate(lines) if x and not x.isspace()]
     rank = {i: min(k, len(visible) - 1 - k) for k, i in enumerate(visible)}
     out = []
-    for i in visible:
-        if page_number(lines[i]) and (not is_page or rank[i] < edge):
+    for i in short:
+        alone = is_page and rank[i] == 0 and not any(TABLE_ROW.fullmatch(lines[j]) for j in (i - 1, i + 1) if 0 <= j < len(lines))
+        if page_number(lines[i], alone) and (not is_page or rank[i] < EDGE):
             beside = [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(lines) and lines[j].strip()]
             table = any(TABLE_ROW.fullmatch(x) or (SHORT_ROW.fullmatch(x) and not page_number(x)) for x in beside)
             if not (table and SHORT_ROW.fullmatch(lines[i])):
@@ -259,24 +283,81 @@ def number_lines(lines: list[str], is_page: bool, edge: int = 3) -> list[int]:
     return out
 
 
-def line_form(line: str) -> list[str]:
-    """The words of a line that can be a running line, without digits; empty where it cannot."""
+def line_words(s: str) -> list[str]:
+    """The words of a line without its digits, the commonest misreadings undone."""
+    s = (s if s.isascii() else unicodedata.normalize("NFC", s)).lower()
+    s = INSIDE.sub("", s.translate(SHAPES_OF_SIGNS) if "@" in s else s)
+    return [w if w.isalpha() else w.translate(SHAPES_OF_DIGITS) for w in WORD.findall(s) if not w.isdigit()]
+
+
+def line_form(line: str, set_off: int = 0) -> list[str]:
+    """The words of a line that can be a running line, without digits; empty where it cannot. ``set_off``: 0 among other lines, 1 between
+    blank lines, page numbers or the ends of an item, 2 so at the edge of a page, where every length and ending will do."""
     s = line.strip()
-    if not 6 <= len(s) <= 90 or s.startswith(("#", "|", "- [", "* ")) or TABLE_ROW.fullmatch(s):
+    if not s or s.startswith(("#", "|", "- [", "* ")) or (set_off < 2 and not 6 <= len(s) <= 90):
+        return []
+    if set_off < 2 and (s[-1] in ".!?:;," and (set_off or not s[-2:-1].isdigit()) or not set_off and (s[-1] == ")" and not s[-2:-1].isdigit() or sum(map(str.isalpha, s.split())) > 9)):
         return []
-    if s[-1] in ".!?:;,)" and not s[-2:-1].isdigit():
+    if TABLE_ROW.fullmatch(s):
         return []
-    s = re.sub(r"^[\W_]*\d{1,4}\s{2,}|\s{2,}\d{1,4}[\W_]*$", "", s)
-    s = INSIDE.sub("", unicodedata.normalize("NFC", s).lower().translate(SHAPES_OF_SIGNS))
-    words = [w if w.isalpha() else w.translate(SHAPES_OF_DIGITS) for w in WORD.findall(s) if not w.isdigit()]
+    words = line_words(NUMBER_AT_END.sub("", s) if "  " in s or "\t" in s else s)
+    if set_off:
+        return words if (set_off == 2 or len(words) <= 12) and any(len(w) > 2 for w in words) else []
     return words if 2 <= len(words) <= 9 else []
 
 
+def candidates(lines: list[str], numbers: list[int], is_page: bool) -> list[tuple[int, list[str], str]]:
+    """By place and form: (line, words, surroundings) of the lines that can be running lines. Surroundings are the nearest lines that are
+    neither that nor page numbers, so the second line of a header does not stand for the text below it."""
+    seen, marks, found = [i for i, x in enumerate(lines) if x and not x.isspace()], set(numbers), {}
+    end = len(seen)
+    places = range(end) if not is_page else sorted({*range(min(EDGE, end)), *range(max(0, end - EDGE), end)})
+    opens = lambda n: not n or n == end or seen[n - 1] < seen[n] - 1 or seen[n] in marks or seen[n - 1] in marks
+    # The rows of a page's header and footer stand together, apart from the text.
+    top, foot = (next((n for n in range(1, min(EDGE, end) + 1) if opens(n)), 0), next((n for n in range(end - 1, max(0, end - EDGE) - 1, -1) if opens(n)), end)) if is_page else (0, end)
+    for n in places:
+        if seen[n] not in marks:
+            words = line_form(lines[seen[n]], 2 if n < top or n >= foot else 1 if opens(n) and opens(n + 1) else 0)
+            if words:
+                found[n] = words
+    out = []
+    for n, words in found.items():
+        a, b = n - 1, n + 1
+        while a >= 0 and (a in found or seen[a] in marks):
+            a -= 1
+        while b < len(seen) and (b in found or seen[b] in marks):
+            b += 1
+        out.append((seen[n], words, (lines[seen[a]] if a >= 0 else "") + "\n" + (lines[seen[b]] if b < len(seen) else "")))
+    return out
+
+
+class _Words(dict):
+    def __missing__(self, w: str) -> int:
+        h = self[w] = digest(w)
+        return h
+
+
+def digest(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+_HASHES, _POWERS, _WHOLE = _Words(), [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 4096)], (1 << 64) - 1
+
+
 def signatures(words: list[str]) -> list[int]:
-    """Hashes of the line, of the line without blanks, and of the line without each of its words, so one misread or torn word
-    does not hide it."""
-    forms = [words, ["".join(words)]] + ([words[:i] + ["*"] + words[i + 1 :] for i in range(len(words))] if len(words) >= 3 else [])
-    return [int.from_bytes(blake2b(" ".join(f).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for f in forms]
+    """Hashes of the line without blanks, of the line, and of the line without each of its words, so one misread or torn word
+    does not hide it; of more than twelve words, of its halves."""
+    if len(_HASHES) > 500_000:
+        _HASHES.clear()
+    joined, words = digest("".join(words)), words[: len(_POWERS)]
+    if len(words) > 12:
+        half = len(words) // 2
+        sums = [joined, digest(" ".join(words[:half])) ^ 1, digest(" ".join(words[half:])) ^ 2]
+    else:
+        terms = [_HASHES[w] * p for w, p in zip(words, _POWERS)]
+        total = sum(terms)
+        sums = [joined, total, *(total - t + p for t, p in zip(terms, _POWERS))] if len(words) > 2 else [joined, total]
+    return [x - (1 << 64) if (x := v & _WHOLE) >> 63 else x for v in sums]
 
 
 class Reader:
@@ -285,18 +366,59 @@ class Reader:
     def __init__(self, known: dict[str, int], editor: Editor | None, trigrams: frozenset[str] = frozenset()):
         self.known, self.editor, self.trigrams = known, editor, trigrams
         self.memo: dict[str, str] = {}
+        self.divisions: dict[tuple[str, str], bool] = {}
+        self.raw = _Raw(known)
+
+    def divided(self, a: str, mark: str, b: str, rest: str) -> bool:
+        """Whether the mark at a line end between ``a`` and ``b`` (with ``rest`` up to the next white space) divides a word; else it is the hyphen of a compound."""
+        if mark not in "-‐":
+            return True
+        known = self.known
+        if a + b in known:
+            return True
+        if f"{a}-{b}" in known or (a in known and b in known) or (a in known and rest.startswith(("-", "‐"))):
+            return False
+        if not self.editor:
+            return True
+        if (a, b) not in self.divisions:
+            if len(self.divisions) > 200_000:
+                self.divisions.clear()
+            self.divisions[a, b] = self.editor.join_gain(a, "-\n", b) >= BREAK_GAIN
+        return self.divisions[a, b]
+
+    def joined(self, text: str) -> tuple[str, bool]:
+        """The text with the words that a line end divides put together, the line breaking after the word; and whether there was any.
+        Compounds get their line break after them too."""
+        any_ = False
+
+        def put(m: re.Match) -> str:
+            nonlocal any_
+            at, b = m.start(), LETTERS.match(m[1])[0]
+            a = LAST_LETTERS.search(text, max(0, at - 64), at)[0]
+            if self.divided(a.lower(), text[at], b.lower(), m[1][len(b) :]):
+                any_ = True
+                return m[1] + "\n"
+            return text[at] + m[1] + "\n"
+
+        return BREAK.sub(put, text), any_
 
     def correct(self, words: set[str]) -> None:
         """Judge lower-cased words: the known word that each stands for, or "". In front of a capitalised word, which may be a name,
-        stands ^: of it only operations preferred to keeping count. Two parts with a blank between are joined."""
+        stands ^: of it only operations preferred to keeping count. Two parts with a blank between are joined if the editor deletes the blank."""
         if len(self.memo) > 1_000_000:
             self.memo.clear()
         new = sorted(w for w in words if w not in self.memo)
-        self.memo.update((w, w.replace(" ", "")) for w in new if " " in w)
-        new = [w for w in new if " " not in w]
         if not self.editor:
             self.memo.update(dict.fromkeys(new, ""))
             return
+        torn, new = [w for w in new if " " in w], [w for w in new if " " not in w]
+        for lo in range(0, len(torn), 8192):
+            part = torn[lo : lo + 8192]
+            s, at = self.editor.scores(part), 0
+            for w in part:
+                blank = s[at + w.index(" ")]
+                self.memo[w] = w.replace(" ", "") if blank[1] - blank[0] >= JOIN_GAIN else ""
+                at += len(w)
         for lo in range(0, len(new), 8192):
             part = new[lo : lo + 8192]
             for w, (first, ways) in zip(part, self.editor.proposals([w.lstrip("^") for w in part])):
@@ -338,49 +460,77 @@ class Reader:
     def tokens(self, text: str) -> list[tuple[int, int, str]]:
         """Begin, end and lower-cased form (after ^ if capitalised) of each token of the running text that the vocabulary does not
         know, and, with a blank between, of pairs of neighbours that are one torn word. A line without any known word is no
-        running text."""
-        known, out, at = self.known, [], 0
-        names = Counter(NAME.findall(text))  # a capitalised word that recurs in an item as it is, is a name
+        running text. What lies between two blanks is judged once; most lines hold nothing to look at."""
+        out, at, raw, names, known = [], 0, self.raw, None, self.known
+        if len(raw) > 1_000_000:
+            raw.clear()
+        get = raw.__getitem__
         for line in text.split("\n"):
-            if not TABLE_ROW.fullmatch(line):
-                found, sure, before = [], 0, None
-                for m in TOKEN.finditer(line):
-                    t, b = TRAIL.sub("", m[1]), m.start(1)
-                    w = t.lower()
-                    if w in known:
-                        sure += 1
-                        if before is not None and before[3]:
-                            self._pair(found, before, b, w, at)
-                        before = (b, b + len(t), w, False) if t == m[1] else None
-                    elif t.isalpha():
-                        if before is not None:
-                            self._pair(found, before, b, w, at)
-                        if len(t) > 2 and not (t[0].isupper() and names[t] > 1):
-                            found.append((at + b, at + b + len(t), "^" + w if t[0].isupper() else w))
-                        before = (b, b + len(t), w, True) if t == m[1] else None
-                    else:
-                        before = None
-                        head, _, tail = w.partition("'") if "'" in w else w.partition("’")
-                        if tail and head + tail not in known:  # an elided article is a word of its own
-                            if head in known:
-                                b, w, t = b + len(head) + 1, tail, t[len(head) + 1 :]
-                            elif tail in known:
-                                w, t = head, t[: len(head)]
-                        if 3 <= len(t) < 30 and sum(map(str.isalpha, t)) >= 2 and not HASHLIKE.fullmatch(t) and not all(p in known for p in PARTS.split(w)):
-                            found.append((at + b, at + b + len(t), "^" + w if t[0].isupper() else w))
-                if sure:
-                    out += found
+            parts = line.split(" ")
+            codes = list(map(get, parts))
+            if any(codes) and (None in codes or any([c[0] for c in codes if c])) and not TABLE_ROW.fullmatch(line):
+                pos, here = at, 0
+                for i in [i for i, c in enumerate(codes) if c]:
+                    pos, here, part, entries = pos + sum(map(len, parts[here:i])) + i - here, i, parts[i], codes[i][1]
+                    last = len(entries) - 1
+                    for j, (b, e, w, letters) in enumerate(entries):
+                        if letters:
+                            if i and not j and not b and (p := self._part(parts[i - 1], codes[i - 1], False)) and p + w in known:
+                                out.append((pos - 1 - len(p), pos + e, p + " " + w))
+                            if j == last and e == len(part) and i + 1 < len(parts) and not (codes[i + 1] and codes[i + 1][1][0][3]):
+                                if (p := self._part(parts[i + 1], codes[i + 1], True)) and w + p in known:
+                                    out.append((pos + b, pos + e + 1 + len(p), w + " " + p))
+                            if e - b < 3:
+                                continue
+                        if part[b].isupper():
+                            if letters and text.count(part[b:e]) > 1:  # a capitalised word that recurs in an item as it is, is a name
+                                names = names or Counter(NAME.findall(text))
+                                if names[part[b:e]] > 1:
+                                    continue
+                            w = "^" + w
+                        out.append((pos + b, pos + e, w))
             at += len(line) + 1
         return out
 
-    def _pair(self, out, before, b, w, at):
-        if before[2] + w in self.known and b - before[1] == 1:
-            out.append((at + before[0], at + b + len(w), before[2] + " " + w))
-
-
-def joined(text: str) -> str:
-    """Words divided by a mark at a line end, joined; the line breaks after the word."""
-    return re.sub(rf"(?<=[^\W\d_])[{MARKS}][ \t]*\n([^\W\d_]\S*) ?", lambda m: m[1] + "\n", text)
+    def _part(self, part: str, code, begins: bool) -> str | None:
+        """The word with which what lies between two blanks begins, or ends, if it is of letters only and nothing divides it from the blank."""
+        if code:
+            b, e, w, letters = code[1][0 if begins else -1]
+            return w if letters and (not b if begins else e == len(part)) else None
+        w = part.lower()
+        if w not in self.known:
+            w = TRAIL.sub("", w) if begins else OPENING.sub("", w)
+        return w if w in self.known else None
+
+
+class _Raw(dict):
+    """What lies between two blanks: None if it holds known words only, False if nothing of running text, else whether a known word is in it and
+    its other tokens (begin, end, lower case, whether of letters only)."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, raw: str):
+        known, sure, out = self.known, False, []
+        for m in TOKEN.finditer(raw):
+            t, b = TRAIL.sub("", m[1]), m.start(1)
+            w = t.lower()
+            if w in known:
+                sure = True
+            elif t.isalpha():
+                out.append((b, b + len(t), w, True))
+            else:
+                head, _, tail = w.partition("'") if "'" in w else w.partition("’")
+                if tail and head + tail not in known:  # an elided article is a word of its own
+                    if head in known:
+                        b, w, t = b + len(head) + 1, tail, t[len(head) + 1 :]
+                    elif tail in known:
+                        w, t = head, t[: len(head)]
+                if 3 <= len(t) < 30 and sum(map(str.isalpha, t)) >= 2 and not HASHLIKE.fullmatch(t) and not all(p in known for p in PARTS.split(w)):
+                    out.append((b, b + len(t), w, False))
+        self[raw] = code = (sure, out) if out else (None if sure else False)
+        return code
 
 
 def _reader(known: dict[str, int], grams: frozenset[str], editor: tuple | None) -> Reader:
@@ -390,7 +540,7 @@ def _reader(known: dict[str, int], grams: frozenset[str], editor: tuple | None)
 def repaired(reader: Reader, text: str, drop: set[int]) -> str:
     """The text without the lines of ``drop``, with corrected and joined words, each paragraph on one line."""
     rows = [x for i, x in enumerate(text.split("\n")) if i not in drop]
-    text = joined("\n".join(rows))
+    text = reader.joined("\n".join(rows))[0]
     found = reader.tokens(text)
     reader.correct({w for _, _, w in found})
     out, at = [], 0
@@ -426,43 +576,47 @@ def _repairing(shared):
     return run
 
 
-def _scan(shared):
-    """item_kind, item_id, key, damage, lines (number), signatures and contexts of each item."""
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("sig", pa.int64()), ("context", pa.int64())]))
+def _scan(shared, judge: bool = True):
+    """item_kind, item_id, key, damage (other than running lines; empty unless ``judge``), and the signatures of the lines that can be running lines: their
+    line and, at one of equal signatures of an item, the least and greatest hash of the surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(*shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 p = b.slice(lo, 1000)
-                kinds, texts = p.column(0).to_pylist(), p.column(3).to_pylist()
-                found = [reader.tokens(joined(t or "")) for t in texts]
-                reader.correct({w for f in found for _, _, w in f})
-                damage, lines = [], []
-                for k, t, f in zip(kinds, texts, found):
-                    d, ls = [], []
-                    if t and t.strip():
-                        rows = t.split("\n")
-                        if BROKEN.search(t):
-                            d.append("broken_word")
-                        if misread_count(reader, f) >= MISREADS:
-                            d.append("misread")
-                        if number_lines(rows, k == "page"):
-                            d.append("page_number")
-                        seen = [i for i, x in enumerate(rows) if x.strip()]
-                        for n, i in enumerate(seen):
-                            words = line_form(rows[i])
-                            if words:
-                                near = (rows[seen[n - 1]] if n else "") + "\n" + (rows[seen[n + 1]] if n + 1 < len(seen) else "")
-                                ctx = int.from_bytes(blake2b(near.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                                ls += [{"line": i, "sig": s, "context": ctx} for s in signatures(words)]
-                    damage.append(d)
-                    lines.append(ls)
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(damage, pa.list_(pa.string())), pa.array(lines, kind)], names=["item_kind", "item_id", "key", "damage", "lines"])
+                pages, texts = [k == "page" for k in p.column(0).to_pylist()], [t or "" for t in p.column(3).to_pylist()]
+                rows = [t.split("\n") for t in texts]
+                numbers = [number_lines(r, k) for r, k in zip(rows, pages)]
+                lines = [candidates(r, n, k) for r, n, k in zip(rows, numbers, pages)]
+                whole = [reader.joined(t) for t in texts] if judge else []
+                found = [reader.tokens(t) for t, _ in whole]
+                reader.correct({w for f in found for _, _, w in f} | {"^" + w for c in lines for _, ws, _ in c for w in ws if len(w) > 2 and w not in reader.known})
+                damage = [[d for d, has in (("broken_word", j), ("misread", misread_count(reader, f) >= MISREADS), ("page_number", n)) if has] for (_, j), f, n in zip(whole, found, numbers)] if judge else [[]] * len(texts)
+                flat, ends = [], [0]
+                for c in lines:
+                    seen: dict[int, list] = {}
+                    for i, words, near in c:
+                        ctx = digest(near) >> 33
+                        for s in signatures([reader.memo.get("^" + w) or w for w in words]):
+                            if s in seen:
+                                seen[s][2:] = [min(seen[s][2], ctx), max(seen[s][3], ctx)]
+                                if seen[s][1] != i:
+                                    flat.append((s, i, None, None))
+                            else:
+                                seen[s] = [s, i, ctx, ctx]
+                    flat += map(tuple, seen.values())
+                    ends.append(len(flat))
+                cols = list(zip(*flat)) if flat else [()] * 4
+                sigs = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["sig", "line", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(damage, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), sigs)], names=["item_kind", "item_id", "key", "damage", "lines"])
 
     return run
 
 
+_SCANNED = "item_kind string, item_id long, key string, damage array<string>, lines array<struct<sig:long,line:int,lo:int,hi:int>>"
+
+
 def misread_count(reader: Reader, found: list[tuple[int, int, str]]) -> int:
     """Misread words; a torn word and its parts count once."""
     n, reach = 0, -1
@@ -477,7 +631,9 @@ def vocabulary(trusted: DataFrame) -> tuple[dict[str, int], frozenset[str]]:
     KNOWN_PART of all originals, and capitalised ones (nouns of some languages) in KNOWN_SPREAD of them, as names are not.
     An original of m different words adds m to the sum of these parts, so at most m / KNOWN_PART words, some ten thousands, reach the driver. Also the sequences of
     three letters in at least GRAM_PART of all different words (no more than the alphabet allows)."""
-    token = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{Nd}_./\\@#`-])\p{L}+(?![\p{L}\p{Nd}_/\\@]|[.][a-z]|\()"), F.lit(0))
+    token = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{Nd}_./\\@#`-])\p{L}+(?:-\p{L}+)*(?![\p{L}\p{Nd}_/\\@]|[.][a-z]|\()"), F.lit(0))
+    # Of a compound, itself and its first part count.
+    token = F.flatten(F.transform(token, lambda t: F.when(F.instr(t, "-") > 0, F.array(t, F.substring_index(t, "-", 1))).otherwise(F.array(t))))
     rows = spread(trusted.where("text IS NOT NULL")).select(F.xxhash64("key").alias("key"), F.explode(token).alias("w"))
     plain = (F.length("w") > 1) & (F.substring("w", 2, 64) == F.lower(F.substring("w", 2, 64)))
     rows = rows.select("key", F.lower("w").alias("lw"), (F.col("w") == F.lower("w")).cast("int").alias("low"), plain.cast("int").alias("noun"))
@@ -500,7 +656,7 @@ def train(items: DataFrame, known: dict[str, int]) -> Editor | None:
     rows = sample_by_hash(some, items.count(), SAMPLE_ITEMS, "item_kind", "item_id").select("text").collect()
     r, unknown, capitalised = Reader(known, None), Counter(), Counter()
     for row in rows:
-        for w in {w for _, _, w in r.tokens(joined(row.text)) if " " not in w}:
+        for w in {w for _, _, w in r.tokens(r.joined(row.text)[0]) if " " not in w}:
             if w[0] != "^":
                 unknown[w] += 1
             elif w[1:].isalpha():
@@ -516,17 +672,22 @@ def _models(items: DataFrame, trusted: DataFrame):
 
 def running(scanned: DataFrame) -> DataFrame:
     """item_kind, item_id, line: running lines, that is lines whose form recurs in RECURS items of the same original, in
-    at least two different surroundings (a passage indexed twice is no running line)."""
-    l = scanned.where("key IS NOT NULL").select("item_kind", "item_id", "key", F.explode("lines").alias("l")).select("item_kind", "item_id", "key", "l.line", "l.sig", "l.context")  # noqa: E741
-    seen = l.groupBy("item_kind", "key", "sig", "item_id").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
-    often = seen.groupBy("item_kind", "key", "sig").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(f"n >= {RECURS} AND lo <> hi").select("item_kind", "key", "sig")
-    return l.join(often, ["item_kind", "key", "sig"], "left_semi").select("item_kind", "item_id", "line").distinct()
+    at least two different surroundings (a passage indexed twice is no running line). A signature travels as one hash of itself and the original."""
+    l = scanned.where("key IS NOT NULL").select("item_kind", "item_id", "key", F.explode("lines").alias("l"))  # noqa: E741
+    l = l.select(F.xxhash64("item_kind", "key", "l.sig").alias("h"), (F.col("item_kind") == "page").alias("page"), "item_id", "l.line", "l.lo", "l.hi")  # noqa: E741
+    often = l.groupBy("h").agg(F.count("lo").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(f"n >= {RECURS} AND lo <> hi").select("h")
+    hits = l.select("h", "page", "item_id", "line").join(often, "h", "left_semi")
+    return hits.select(F.when(F.col("page"), F.lit("page")).otherwise(F.lit("chunk")).alias("item_kind"), "item_id", "line")
+
+
+def _once(items: DataFrame) -> DataFrame:
+    return spread(items.select("item_kind", "item_id", "key", "text"))
 
 
 def damage(items: DataFrame, trusted: DataFrame) -> DataFrame:
-    """From items (item_kind, item_id, key, text) and trusted texts (key, text): item_kind, item_id, defect."""
-    items = spread(items.select("item_kind", "item_id", "key", "text"))
-    scanned = checkpointed(items.mapInArrow(_scan(_models(items, trusted)), "item_kind string, item_id long, key string, damage array<string>, lines array<struct<line:int,sig:long,context:long>>"))
+    """From items (item_kind, item_id, key, text), one row each, and trusted texts (key, text): item_kind, item_id, defect."""
+    items = _once(items)
+    scanned = checkpointed(items.mapInArrow(_scan(_models(items, trusted)), _SCANNED))
     single = scanned.select("item_kind", "item_id", F.explode("damage").alias("defect"))
     lines = running(scanned).select("item_kind", "item_id", F.lit("running_line").alias("defect"))
     return single.unionByName(lines).distinct()
@@ -534,9 +695,9 @@ def damage(items: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def repair(items: DataFrame, trusted: DataFrame) -> DataFrame:
     """item_kind, item_id, text: the repaired text of every item."""
-    items = spread(items.select("item_kind", "item_id", "key", "text"))
+    items = _once(items)
     shared = _models(items, trusted)
-    scanned = checkpointed(items.mapInArrow(_scan(shared), "item_kind string, item_id long, key string, damage array<string>, lines array<struct<line:int,sig:long,context:long>>"))
-    lines = running(scanned).groupBy("item_kind", "item_id").agg(F.collect_list("line").alias("drop"))
+    scanned = checkpointed(items.mapInArrow(_scan(shared, judge=False), _SCANNED))
+    lines = running(scanned).groupBy("item_kind", "item_id").agg(F.collect_set("line").alias("drop"))
     both = items.join(lines, ["item_kind", "item_id"], "left").select("item_kind", "item_id", "text", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     return both.mapInArrow(_repairing(shared), "item_kind string, item_id long, text string")
