@@ -6,13 +6,13 @@ a band; records that share a band are candidates. The part of equal registers, c
 compressed registers, estimates the Jaccard similarity; candidates too far below the threshold go, the rest are verified exactly.
 
 Copies (records with one set of shingles) are one class throughout; only its least id is compared with others, so a hot
-group of copies is one row after partial aggregation. Pairs within a class, and between two classes, are written out
-where they are at most ``most``; beyond, each member is paired with the least id of the class, which links all of them.
+group of copies is one row after partial aggregation. Bands are gathered by key; of a band that a hash sample of the records shows to be large,
+the records go in blocks to units of two blocks each, which give only pairs that pass the estimate. Sets of shingles are made for candidates only. Groups are the connected components of the links, by repeated exchange of least ids.
 
 Defined results: null texts and texts of fewer than ``min_words`` words take no part; a word is a longest run of letters
 and digits, in lower case; rows with the same id are compared as separate members but never paired with themselves;
 an empty table gives no rows; other columns are ignored. The bands find a pair at the threshold of 0.5 with a
-probability of 0.955, one at 0.6 with 0.999.
+probability of 0.955, one at 0.6 with 0.999. Sets hold 64 bits of a shingle's hash.
 """
 
 from __future__ import annotations
@@ -26,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.runtime import checkpointed, spread
+from ctxlake.runtime import checkpointed, saved, shuffle_partitions, spread
 
 WORD = re.compile(r"[^\W_]+")
 FAMILIES, BUCKETS, BAND = 12, 16, 4
 MANTISSA = 10
 #: Registers that go along for the estimate: those of the first families.
 ESTIMATE = 4 * BUCKETS
+#: A band is large if this many of one in SAMPLE_OF records (by a hash) are in it; it is cut into blocks of about BLOCK records.
+SAMPLE_OF, MANY, BLOCK = 16, 12, 256
+#: Large bands, and ids of candidates, that are broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 U = np.uint64
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (FAMILIES, 2), dtype=np.uint64) | U(1)
 
@@ -118,18 +122,21 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _banding(size: int, min_words: int):
+    """gid, print (two hashes of the set of shingles), keys of the bands, sketch, number of shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, h, begin = shingles(b.column(1).to_pylist(), size, min_words)
             if len(rows):
-                part = b.column(2).take(pa.array(rows)).to_numpy()
-                prints = [p.tobytes() + blake2b(np.unique(h[lo:hi]).tobytes(), digest_size=16).digest() for p, lo, hi in zip(part, begin, begin[1:])]
+                at, part = pa.array(rows), b.column(2).take(pa.array(rows)).to_numpy()
                 reg = registers(h, begin)
                 keys = band_keys(reg) ^ (mix(part.astype(U)) >> U(32)).astype(np.uint32).view(np.int32)[:, None]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+                prints = [blake2b(np.unique(h[lo:hi]).tobytes(), digest_size=16, key=p.tobytes()).digest() for p, lo, hi in zip(part, begin, begin[1:])]
+                prints = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
                 sketch = pa.array([r.tobytes() for r in reg[:, :ESTIMATE]], pa.binary())
-                size_ = pa.array(np.diff(begin), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(prints, pa.binary()), flat, sketch, size_], names=["gid", "print", "keys", "sketch", "n"])
+                cols = [b.column(0).take(at), pa.array(prints[:, 0]), pa.array(prints[:, 1]), flat, sketch, pa.array(np.diff(begin), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["gid", "p1", "p2", "keys", "sketch", "n"])
 
     return run
 
@@ -139,7 +146,7 @@ def _sets(size: int, min_words: int):
         for b in batches:
             rows, h, begin = shingles(b.column(1).to_pylist(), size, min_words)
             if len(rows):
-                sets = [np.unique((h[lo:hi] >> U(32)).astype(np.uint32)).tobytes() for lo, hi in zip(begin, begin[1:])]
+                sets = [np.unique(h[lo:hi]).tobytes() for lo, hi in zip(begin, begin[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["gid", "set"])
 
     return run
@@ -158,13 +165,45 @@ def _estimating(least: float):
     return run
 
 
+def _blocks(least: float):
+    """Pairs (a, b) whose estimate is at least ``least``, of units (key, i, j) whose rows (key, i, j, block, rep, sketch, n) come one unit after another."""
+
+    def pairs(i: int, j: int, rows: list) -> pa.RecordBatch:
+        x = [r for r in rows if r[0] == i]
+        y = x if i == j else [r for r in rows if r[0] == j]
+        out: list[list[int]] = [[], []]
+        if x and y:
+            others, n = np.array([r[1] for r in y]), np.array([r[3] for r in y])
+            base = np.frombuffer(b"".join(r[2] for r in y), np.uint16).reshape(len(y), -1)
+            for r in x:
+                near = estimate(np.frombuffer(r[2], np.uint16)[None], base, np.array([r[3]]), n) >= least
+                found = others[near & (others > r[1] if i == j else others != r[1])]
+                out[0] += np.minimum(found, r[1]).tolist()
+                out[1] += np.maximum(found, r[1]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+        for b in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, i, j) != unit:
+                    if rows:
+                        yield pairs(*unit[1:], rows)
+                    unit, rows = (key, i, j), []
+                rows.append(row)
+        if rows:
+            yield pairs(*unit[1:], rows)
+
+    return run
+
+
 def _verifying(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, sim = [], []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(u, v, assume_unique=True))
+                u, v = np.frombuffer(x, U), np.frombuffer(y, U)
+                both = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
                 j = both / (len(u) + len(v) - both)
                 if j >= threshold:
                     keep.append(i)
@@ -174,51 +213,81 @@ def _verifying(threshold: float):
     return run
 
 
-def classes(items: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def _few(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _candidates(reps: DataFrame, least: float, sample_of: int, many: int, block: int) -> DataFrame:
+    """Pairs (a, b), a < b, of representatives (rep, keys, sketch, n) that share a band; of large bands only those that pass the estimate."""
+    bands = reps.select("rep", F.posexplode("keys").alias("band", "k")).select("rep", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("k")).alias("key"))
+    some = bands.where(F.pmod(F.xxhash64("rep"), F.lit(sample_of)) == 0)
+    large = checkpointed(some.groupBy("key").agg((F.ceil(F.count("*") * sample_of / block)).cast("int").alias("blocks"), F.count("*").alias("c")).where(F.col("c") >= many).select("key", "blocks"))
+    none = large.isEmpty()
+    buckets = (bands if none else bands.join(_few(large), "key", "left_anti")).groupBy("key").agg(F.collect_list("rep").alias("m")).where(F.size("m") > 1)
+    pairs = buckets.select("m", F.explode("m").alias("a")).select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
+    if none:
+        return pairs.distinct()
+    of = bands.join(_few(large), "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    of = of.join(reps.select("rep", "sketch", "n"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of = of.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "sketch", "n")
+    units = of.repartition(shuffle_partitions(reps), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return pairs.unionByName(units.mapInArrow(_blocks(least), "a long, b long")).distinct()
+
+
+def classes(items: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, sample_of: int = SAMPLE_OF, many: int = MANY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """From items (gid, part, text), compared within a part: members (gid, rep, n: size of the class of copies) and links (a, b, similarity) between
     the representatives of classes, a < b. The defaults are five words and 0.8."""
     items = spread(items.select("gid", "text", F.col("part").cast("long").alias("part")).where("text IS NOT NULL AND gid IS NOT NULL AND part IS NOT NULL"))
-    banded = checkpointed(items.mapInArrow(_banding(size, min_words), "gid long, print binary, keys array<int>, sketch binary, n int"))
-    groups = banded.groupBy("print").agg(F.min("gid").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    bands = groups.select("rep", F.posexplode("keys").alias("band", "k")).select("rep", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("k")).alias("key"))
-    buckets = bands.groupBy("key").agg(F.collect_list("rep").alias("m")).where(F.size("m") > 1)
-    pairs = buckets.select("m", F.explode("m").alias("a")).select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b")).distinct()
-    side = lambda s: banded.select(F.col("gid").alias(s), F.col("sketch").alias("r" + s), F.col("n").alias("n" + s))
-    slack = 4 * (threshold * (1 - threshold) / ESTIMATE) ** 0.5
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimating(threshold - slack), "a long, b long")
-    sets = items.mapInArrow(_sets(size, min_words), "gid long, set binary")
+    stored = saved(items.mapInArrow(_banding(size, min_words), "gid long, p1 long, p2 long, keys array<int>, sketch binary, n int"))
+    least = threshold - 4 * (threshold * (1 - threshold) / ESTIMATE) ** 0.5
+    reps = stored.groupBy("p1", "p2").agg(F.min("gid").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    pairs = _candidates(reps, least, sample_of, many, block)
+    side = lambda s: stored.select(F.col("gid").alias(s), F.col("sketch").alias("r" + s), F.col("n").alias("n" + s))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimating(least), "a long, b long")
+    near = checkpointed(near)
+    sets = items.join(_few(near.select(F.explode(F.array("a", "b")).alias("gid")).distinct()), "gid", "left_semi").select("gid", "text").mapInArrow(_sets(size, min_words), "gid long, set binary")
     both = near.join(sets.select(F.col("gid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("gid").alias("b"), F.col("set").alias("sb")), "b")
-    links = both.select("a", "b", "sa", "sb").mapInArrow(_verifying(threshold), "a long, b long, similarity double")
-    sizes = groups.select("print", "rep", "n")
-    members = banded.select("gid", "print").join(sizes, "print").select("gid", "rep", "n")
-    return members, links
-
-
-def near_pairs(items: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int | None = None, salts: int = 64) -> DataFrame:
-    """a, b (a < b) of all records at or above the threshold, copies included. With ``most``, members of a class or two classes of more pairs than
-    that are only linked through the least id. Classes of over 10,000 pairs are written out by ``salts`` tasks."""
-    members, links = classes(items, size, min_words, threshold)
-    links = checkpointed(links)
-    copies = members.where("n > 1")
-    named = lambda m, g, r, n: m.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("n").alias(n))
-    hot = F.col("n") * (F.col("n") - 1) > 2 * (10_000 if most is None else most)
-    small = named(copies.where(~hot), "a", "r", "n").join(named(copies.where(~hot), "b", "r", "m"), "r").where("a < b").select("a", "b")
-    if most is None:
-        left = named(copies.where(hot), "a", "r", "n").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-        right = named(copies.where(hot), "b", "r", "m").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        large = left.join(right, ["r", "salt"]).where("a < b").select("a", "b")
+    links = checkpointed(both.select("a", "b", "sa", "sb").mapInArrow(_verifying(threshold), "a long, b long, similarity double").distinct())
+    sizes = stored.groupBy("p1", "p2").agg(F.min("gid").alias("rep"), F.count("*").alias("n"))
+    return stored.select("gid", "p1", "p2").join(sizes, ["p1", "p2"]).select("gid", "rep", "n"), links
+
+
+def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """node, group_id (least node of the component) of all nodes of the links (a, b). In turn each node's greater neighbours, then all its neighbours not
+    greater than itself, are linked to the least of them, until that changes nothing; the pairs left are a star around each least node."""
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = None
+    for _ in range(rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        wide = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = wide.groupBy("u").agg(F.min("v").alias("m"))
+        near = wide.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(near.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            break
+        seen = now
     else:
-        large = copies.where(hot & (F.col("gid") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    # Links to classes of several members: one side after the other, as most classes have one member.
-    l = links.select("a", "b").join(copies.select(F.col("gid").alias("ma"), F.col("rep").alias("a"), F.col("n").alias("na")), "a", "left")  # noqa: E741
-    sizes = copies.where("gid = rep").select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-    l = l.join(sizes, "b", "left").withColumn("whole", F.lit(True) if most is None else F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= most)  # noqa: E741
-    wide = l.where("whole").join(copies.select(F.col("gid").alias("mb"), F.col("rep").alias("b")), "b", "left")
+        raise RuntimeError(f"components not settled after {rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("group_id")).unionByName(edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("group_id")))
+
+
+def near_pairs(items: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, **how) -> DataFrame:
+    """a, b (a < b) of all records at or above the threshold, copies included. Pairs of a class are written out by a task for each 2,000 members,
+    those of two classes one side after the other, so the work is that of writing the pairs."""
+    members, links = classes(items, size, min_words, threshold, **how)
+    copies = checkpointed(members.where("n > 1"))
+    parts = F.ceil(F.col("n") / 2000).cast("int")
+    left = copies.select(F.col("gid").alias("a"), F.col("rep").alias("r"), F.pmod(F.xxhash64("gid"), parts).cast("int").alias("salt"))
+    right = copies.select(F.col("gid").alias("b"), F.col("rep").alias("r"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    own = left.join(right, ["r", "salt"]).where("a < b").select("a", "b")
+    # Most classes have one member: the left join leaves their links as they are.
+    named = lambda m, r: copies.select(F.col("gid").alias(m), F.col("rep").alias(r))
+    wide = links.select("a", "b").join(named("ma", "a"), "a", "left").join(named("mb", "b"), "b", "left")
     wide = wide.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
-    star = l.where("NOT whole").select(F.coalesce("ma", "a").alias("a"), "b")
-    star = star.unionByName(l.where("NOT whole").select("a", "b").distinct().join(copies.select(F.col("gid").alias("mb"), F.col("rep").alias("b")), "b").select("a", F.col("mb").alias("b")))
-    every = small.unionByName(large).unionByName(wide).unionByName(star)
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return own.unionByName(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def page_texts(distillations: DataFrame) -> DataFrame:
