@@ -82,18 +82,23 @@ class RangeMax:
 
 def pieces(text: str, limit: int, overlap: int, least: float = 0.5) -> list[tuple[int, int]]:
     """Begin and end of each piece of the stripped ``text``. A piece has at most limit_chars(limit) code points, ends at
-    the strongest boundary of the window's last half and begins, at a word's start, at most 4 * ``overlap`` before
-    the end of the one before it."""
-    most, back, n = limit_chars(limit), 4 * overlap, len(text)
+    the strongest boundary of the window's last half (of the rest of the window where that half has none) and begins, at a word's start,
+    at most 4 * ``overlap`` before the end of the one before it."""
+    most, n = limit_chars(limit), len(text)
+    back = max(0, min(4 * overlap, most - 2))
+    block = max(BLOCK, 2 * (most + back + 2))
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out, begin, base, table, s = [], 0, 0, None, None
     while n - begin > most:
         if table is None or begin + most + 1 > base + len(s):
             base = max(0, begin - back - 1)
-            s = strengths(cp[base : base + BLOCK])
+            s = strengths(cp[base : base + block])
             table = RangeMax(s, most)
         lo, hi = begin + max(back + 1, int(most * least)), begin + most
         cut = base + table.best(lo - base, hi + 1 - base)
+        if s[cut - base] == 0 and lo > begin + back + 1:
+            early = base + table.best(begin + back + 1 - base, lo - base)
+            cut = early if s[early - base] else cut
         if s[cut - base] == 0:
             cut = hi
             while cut > lo and unicodedata.combining(text[cut]):
