@@ -5,6 +5,11 @@ over any number of tasks; each task walks its sorted slice once, comparing each
 the open run. A run that touches an edge of its slice stays provisional; a second pass of the same state machine over
 only these edge rows, in the same plan, joins what a slice border cut.
 
+Where near-identical events join a run, the anchor that comes from the slice before matters. A slice therefore follows every anchor that is
+possible (at first all keys of the table): an event similar to some of them leaves these and, if it is not similar to all, its own key. Once an event is
+similar to none of them, a run begins there whatever came before, and only what precedes it is left to the second pass, as runs of equal keys. A
+table of more than KEYS different keys leaves doubt until the first gap instead.
+
 Defined results: rows with a null session, bucket, ts or seq, or a bucket without letters, take no part; rows with
 the same seq are one event (the least by ts, session, bucket); equal ts are ordered by seq; an empty table gives no
 rows; columns other than the four named are ignored, whatever their names.
@@ -37,6 +42,10 @@ def similarity(a: str, b: str) -> float:
     return min(2 * len(x & y) / (len(x) + len(y)), 0.999999)
 
 
+#: Different keys that a slice follows as possible anchors.
+KEYS = 5000
+
+
 class RunMachine:
     """State: the open run, kept under its anchor's key. ``feed`` gives the run that an event closes, if any."""
 
@@ -63,25 +72,27 @@ def _columns(rows: list[list], edge: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip([*cols, edge], _ARROW)], schema=_ARROW)
 
 
-def _first_pass(gap_us: int, least: float):
+def _first_pass(gap_us: int, least: float, keys: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, settled, prev = RunMachine(gap_us, least), False, None
-        # With exact keys the second run of a slice no longer depends on what came before; with a similarity the anchor
-        # does, until a session or a gap ends all doubt. Until then every row of the slice is an edge row by itself.
-        anchor_known = False
+        m, prev = RunMachine(gap_us, least), None
+        # With exact keys the second run of a slice no longer depends on what came before; with a similarity it does until
+        # a session, a gap or an event unlike all possible anchors ends all doubt.
+        anchor_known, anchors = False, keys
         for b in batches:
             out, edge = [], []
             for s, k, us, seq in zip(*(b.column(i).to_pylist() for i in range(4))):
-                hard = prev is not None and (prev[0] != s or us - prev[2] > gap_us)
-                soft = least >= 1.0 and prev is not None and prev[1] != k
-                if not anchor_known and least < 1.0 and not hard and prev is not None and m.run and m.run[1] != k:
-                    out.append(m.run)  # still in doubt: hand on runs of equal keys only
-                    edge.append(1)
-                    m.run = None
-                elif not anchor_known and (hard or soft):
-                    out.append(m.run)
-                    edge.append(1)
-                    m.run, anchor_known = None, True
+                if not anchor_known:
+                    ends = prev is not None and (prev[0] != s or us - prev[2] > gap_us)
+                    if not ends and least >= 1.0:
+                        ends = prev is not None and prev[1] != k
+                    elif not ends and anchors is not None:
+                        like = {a for a in anchors if similarity(a, k) >= least}
+                        ends = not like and prev is not None
+                        anchors = like if len(like) == len(anchors) else like | {k}
+                    if ends or (prev is not None and m.run and m.run[1] != k):
+                        out.append(m.run)  # while in doubt: hand on runs of equal keys only
+                        edge.append(1)
+                        m.run, anchor_known = None, ends
                 if (done := m.feed(s, k, us, seq, us, seq, 1)) is not None:
                     out.append(done)
                     edge.append(0)
@@ -126,8 +137,12 @@ def collapse_runs(
         F.col(session).cast("string").alias("session_id"), key.alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(seq).cast("long").alias("seq")
     ).where("session_id IS NOT NULL AND key <> '' AND us IS NOT NULL AND seq IS NOT NULL")
     e = e.groupBy("seq").agg(F.min(F.struct("us", "session_id", "key")).alias("e")).select("e.session_id", "e.key", "e.us", "seq")
-    first = e.repartitionByRange(n, "session_id", "us", "seq").sortWithinPartitions("session_id", "us", "seq").mapInArrow(_first_pass(gap_us, min_similarity), SCHEMA)
-    # Edge rows go to one task: at most two a slice for exact keys. Finished runs only pass through, spread over the rest.
+    keys = None
+    if min_similarity < 1.0:  # normalised bucket names: few, and no more than KEYS + 1 reach the driver
+        some = e.select("key").distinct().limit(KEYS + 1).collect()
+        keys = frozenset(r.key for r in some) if len(some) <= KEYS else None
+    first = e.repartitionByRange(n, "session_id", "us", "seq").sortWithinPartitions("session_id", "us", "seq").mapInArrow(_first_pass(gap_us, min_similarity, keys), SCHEMA)
+    # Edge rows go to one task: two a slice for exact keys, a few more for similar ones. Finished runs only pass through, spread over the rest.
     first = first.where((F.col("edge") > 0) | (F.col("n_events") >= min_events))
     spread = F.when(F.col("edge") > 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("first_seq"), F.lit(max(1, n - 1))) + 1)
     runs = first.repartition(n, spread).sortWithinPartitions("session_id", "first_us", "first_seq").mapInArrow(_second_pass(gap_us, min_similarity), SCHEMA)
