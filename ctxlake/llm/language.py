@@ -3,10 +3,11 @@
 Method: word-first backoff. A word of the word list scores by its logarithmic frequency in each language; an unseen word
 falls back, place by place, to the longest character n-gram (five down to one) that any language's words hold. Sentences
 sum up their words; a sentence much like its neighbours follows them (Viterbi with a cost for each change), and runs of
-sentences of one language form a segment with its characters and a confidence.
+sentences of one language form a segment with its place, its characters and a confidence.
 
-Running text: sentences of at least ``MIN_WORDS`` words written in letters only, of which the word list knows a part; identifiers,
-paths, numbers, hexadecimal data and table cells are not words.
+Running text: sentences of at least ``MIN_WORDS`` words written in letters only, of which the word list knows a part; and stretches of at
+least ``MIN_CHARS`` characters of such sentences whatever the list knows, by n-grams alone. Where an item has neither, all its phrases outside tables
+of two words, or of a known one, are judged together. Identifiers, paths, numbers, hexadecimal data and table cells are not words.
 
 Defined results: null, empty and blank texts, and texts without running text, have no language; repeated rows of an item
 give the same result once; the latest usable or unusable label counts (of two at the same time the greater text);
@@ -38,6 +39,9 @@ NAMES = {
 }
 MIN_WORDS, MIN_CHARS = 4, 120
 CHANGE_COST, CLIP, UNSEEN = 7.0, 6.0, 0.45
+WORD_LIST = 2_000_000
+#: How much the best language must be ahead where there are only phrases.
+PHRASE_MARGIN = 1.5
 MEMO = 500_000
 UNIT = re.compile(r"(?<=[.!?:;])[\"»”')\]]*\s+|\n\s*\n|\n(?=#+ )|(?<=\d)\n|\|")
 #: A word of letters only, not part of an identifier, a path or a number.
@@ -125,37 +129,73 @@ def viterbi(scores: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def segments_of(model: Model, texts: list[str | None]) -> Iterator[list[tuple[int, int, float]]]:
-    """For each text its segments: (language, characters, confidence)."""
+def units_of(text: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of each sentence, heading or table cell."""
+    at = 0
+    for m in UNIT.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
+def confidence(scores: np.ndarray, words: float, lang: int) -> float:
+    s = scores / max(1.0, float(words) ** 0.5)
+    p = np.exp(s - s.max())
+    return float(p[lang] / p.sum())
+
+
+def phrases(model: Model, text: str) -> list[tuple[int, int, int, int, float]]:
+    """One segment of a text without running sentences, from its short phrases; none if they hold no evidence."""
+    total, words, spans = np.zeros(len(model.langs)), 0, []
+    for row in re.finditer(r"[^\n]+", text):
+        if row[0].lstrip().startswith("|") or "\t" in row[0]:
+            continue
+        for a, b in units_of(row[0]):
+            found = WORDS.findall(row[0][a:b].lower())
+            if len(found) >= 2 or any(w in model.known for w in found):
+                total += sum(model.score(w) for w in found)
+                words += len(found)
+                spans.append((row.start() + a, row.start() + b))
+    if not spans or total.max() - np.sort(total)[-2:].min() < PHRASE_MARGIN:
+        return []
+    lang = int(total.argmax())
+    return [(lang, spans[0][0], spans[-1][1], sum(b - a for a, b in spans), confidence(total, words, lang))]
+
+
+def segments_of(model: Model, texts: list[str | None]) -> Iterator[list[tuple[int, int, int, int, float]]]:
+    """For each text its segments: (language, begin, end, characters, confidence)."""
     model.trim()
-    ids, starts, lengths, owner = [], [], [], []
+    ids, starts, begins, ends, owner = [], [], [], [], []
     place, index = model.place, model.index
     for t, text in enumerate(texts):
         if not text:
             continue
-        for unit in UNIT.split(text):
-            words = WORDS.findall(unit.lower())
+        for a, b in units_of(text):
+            words = WORDS.findall(text[a:b].lower())
             if len(words) >= MIN_WORDS:
                 starts.append(len(ids))
                 ids += [index[w] if w in index else place(w) for w in words]
-                lengths.append(len(unit))
+                begins.append(a)
+                ends.append(b)
                 owner.append(t)
-    if not starts:
-        yield from ([] for _ in texts)
-        return
-    table, seen = model.matrix()
-    ids_a = np.array(ids)
-    scores = np.add.reduceat(table[ids_a], starts)
-    counts = np.diff([*starts, len(ids)])
-    known = np.add.reduceat(seen[ids_a].astype(np.int64), starts)
-    running = (known >= 2) & (known * 5 >= counts)
-    best = scores.argmax(1)
-    at = np.flatnonzero(running)
-    by = {t: list(g) for t, g in groupby(at.tolist(), key=lambda i: owner[i])}
-    for t in range(len(texts)):
+    by: dict[int, list[int]] = {}
+    if starts:
+        table, seen = model.matrix()
+        ids_a, lengths, of = np.array(ids), np.array(ends) - np.array(begins), np.array(owner)
+        scores = np.add.reduceat(table[ids_a], starts)
+        counts = np.diff([*starts, len(ids)])
+        known = np.add.reduceat(seen[ids_a].astype(np.int64), starts)
+        running = (known >= 2) & (known * 5 >= counts)
+        # Sentences one after another that the list does not know enough of count if there is much of them.
+        stretch = np.cumsum(running | np.concatenate([[True], of[1:] != of[:-1]]) | np.concatenate([[True], running[:-1]]))
+        much = np.bincount(stretch, np.where(running, 0, lengths))[stretch] >= MIN_CHARS
+        at = np.flatnonzero(running | much)
+        by = {t: list(g) for t, g in groupby(at.tolist(), key=lambda i: owner[i])}
+        best = scores.argmax(1)
+    for t, text in enumerate(texts):
         units = by.get(t)
         if not units:
-            yield []
+            yield phrases(model, text) if text and text.strip() else []
             continue
         own = best[units]
         path = own if (own == own[0]).all() else viterbi(scores[units])
@@ -165,9 +205,7 @@ def segments_of(model: Model, texts: list[str | None]) -> Iterator[list[tuple[in
             while j < len(units) and path[j] == path[i]:
                 j += 1
             part = units[i:j]
-            s = scores[part].sum(0) / max(1.0, float(counts[part].sum()) ** 0.5)
-            p = np.exp(s - s.max())
-            out.append((int(path[i]), int(sum(lengths[k] for k in part)) + j - i - 1, float(p[path[i]] / p.sum())))
+            out.append((int(path[i]), begins[part[0]], ends[part[-1]], int(lengths[part].sum()) + j - i - 1, confidence(scores[part].sum(0), counts[part].sum(), path[i])))
             i = j
         yield out
 
@@ -187,20 +225,21 @@ def latest_labels(labels: DataFrame) -> DataFrame:
 
 
 def segments(items: DataFrame, words: DataFrame) -> DataFrame:
-    """From items (item_kind, item_id, text) and a word list (lang, word, freq; a small table by its nature, at most some
-    hundred words a language): item_kind, item_id, segments: array of (lang, chars, confidence)."""
-    rows = [(r.lang, r.word, float(r.freq)) for r in words.where("lang IS NOT NULL AND word IS NOT NULL AND freq > 0").select("lang", F.lower("word").alias("word"), "freq").collect()]
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("chars", pa.int64()), ("confidence", pa.float64())]))
+    """From items (item_kind, item_id, text) and a word list (lang, word, freq; a small table by its nature, of at most WORD_LIST rows): item_kind, item_id, segments: array of (lang, begin, end, chars, confidence)."""
+    rows = [(r.lang, r.word, float(r.freq)) for r in words.where("lang IS NOT NULL AND word IS NOT NULL AND freq > 0").select("lang", F.lower("word").alias("word"), "freq").limit(WORD_LIST + 1).collect()]
+    if len(rows) > WORD_LIST:
+        raise ValueError(f"a word list of more than {WORD_LIST} rows is too large to be sent to every worker")
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("chars", pa.int64()), ("confidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(rows)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                out = [[{"lang": model.langs[a], "chars": n, "confidence": round(c, 4)} for a, n, c in s] for s in segments_of(model, part.column(2).to_pylist())] if rows else [[]] * part.num_rows
+                out = [[{"lang": model.langs[g], "begin": a, "end": b, "chars": n, "confidence": round(c, 4)} for g, a, b, n, c in s] for s in segments_of(model, part.column(2).to_pylist())] if rows else [[]] * part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, kind)], names=["item_kind", "item_id", "segments"])
 
-    return spread(items.select("item_kind", "item_id", "text")).mapInArrow(run, "item_kind string, item_id long, segments array<struct<lang:string,chars:long,confidence:double>>")
+    return spread(items.select("item_kind", "item_id", "text")).mapInArrow(run, "item_kind string, item_id long, segments array<struct<lang:string,begin:long,end:long,chars:long,confidence:double>>")
 
 
 def languages(items: DataFrame, words: DataFrame, labels: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
