@@ -100,9 +100,18 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
     return d.withColumn("repeats", (passes + F.when(F.col("at") < F.bround(rest, 6), 1).otherwise(0)).cast("long")).where("repeats > 0")
 
 
+def placed(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, schedule: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, repeats, positions: the chosen documents with the training position of each of their uses."""
+    sched = (schedule if schedule is not None else default_schedule(targets)).select("source", integral(F.col("knots")).alias("seg"))
+    m = mix(docs, targets, total_tokens).join(F.broadcast(sched), "source")  # a row a source
+    through = lambda p: (F.col("at") + (p - 1) * F.col("supply") + F.col("n_tokens") / 2) / F.col("grant")
+    at = F.transform(F.sequence(F.lit(1).cast("long"), F.col("repeats")), lambda p: F.round(inverse(F.col("seg"), F.least(through(p), F.lit(1.0))), 9))
+    return m.select("doc_id", "source", "n_tokens", "repeats", at.alias("positions"))
+
+
 def shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """A row for each target: target_share, max_repeats, supply_tokens, used_tokens, used_docs, most_repeats, reached_share, short."""
-    used = mix(docs, targets, total_tokens).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used"), F.count("*").alias("n"), F.max("repeats").alias("m"))
+    """A row for each target, from the placed uses: target_share, max_repeats, supply_tokens, used_tokens, used_docs, most_repeats, reached_share, short."""
+    used = placed(docs, targets, total_tokens).groupBy("source").agg(F.sum(F.col("n_tokens") * F.size("positions")).alias("used"), F.count("*").alias("n"), F.max(F.size("positions")).cast("long").alias("m"))
     p = plan(docs, targets, total_tokens).join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     p = p.crossJoin(F.broadcast(p.agg(F.sum("used").alias("all"))))
     return p.select(
@@ -113,9 +122,6 @@ def shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 
 def curriculum(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, schedule: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """doc_id, source, n_tokens, pass_no, position: one row for each use of a document, in training order."""
-    sched = (schedule if schedule is not None else default_schedule(targets)).select("source", integral(F.col("knots")).alias("seg"))
-    m = mix(docs, targets, total_tokens).join(F.broadcast(sched), "source")
-    uses = m.withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
-    through = (F.col("at") + (F.col("pass_no") - 1) * F.col("supply") + F.col("n_tokens") / 2) / F.col("grant")
-    out = uses.select("doc_id", "source", "n_tokens", "pass_no", F.round(inverse(F.col("seg"), F.least(through, F.lit(1.0))), 9).alias("position"))
+    uses = placed(docs, targets, total_tokens, schedule).select("doc_id", "source", "n_tokens", F.posexplode("positions").alias("p", "position"))
+    out = uses.select("doc_id", "source", "n_tokens", (F.col("p") + 1).cast("long").alias("pass_no"), "position")
     return out.orderBy("position", "source", "doc_id", "pass_no") if ordered else out
