@@ -25,11 +25,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row a record: the class of its exact set of five-word shingles, its size, and the number of other classes at 0.8 or more."""
+    """One row a record: the class of its exact set of five-word shingles, its size, the number of other classes at 0.8 or more, and the group that such
+    links connect."""
     members, links = dedup.classes(_records(spark, d))
     both = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    m = members.join(both, "rep", "left")
-    return m.select(_kind(F.col("gid")).alias("item_kind"), F.expr("gid div 2").alias("item_id"), F.expr("rep div 2").alias("class_id"), "n", F.coalesce("links", F.lit(0)).alias("links"))
+    m = members.join(both, "rep", "left").join(dedup.components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    return m.select(_kind(F.col("gid")).alias("item_kind"), F.expr("gid div 2").alias("item_id"), F.expr("rep div 2").alias("class_id"), "n", F.coalesce("links", F.lit(0)).alias("links"), F.expr("coalesce(group_id, rep) div 2").alias("group_id"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +50,11 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(table(spark, d, "activity_log"))
 
 
+def p3_near_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of near-identical events: half of the letter pairs shared with the first event of the run."""
+    return runs.collapse_runs(table(spark, d, "activity_log"), min_similarity=0.5)
+
+
 def _items(spark: SparkSession, d: str, chunks: str) -> DataFrame:
     """Pages and those chunks that fit the condition: item_kind, item_id, text."""
     pages = table(spark, d, "page_results").select(F.lit("page").alias("item_kind"), F.col("page_id").alias("item_id"), "text")
@@ -65,7 +71,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     s = language.segments(_items(spark, d, _PROSE), table(spark, d, "word_list"))
-    return s.select("item_kind", "item_id", F.posexplode("segments").alias("segment", "s")).select("item_kind", "item_id", "segment", "s.lang", "s.chars", "s.confidence").distinct()
+    return s.select("item_kind", "item_id", F.posexplode("segments").alias("segment", "s")).select("item_kind", "item_id", "segment", "s.lang", "s.begin", "s.end", "s.chars", "s.confidence").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +107,10 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents in training order, with the position of their first use."""
     docs = mixing.sized(table(spark, d, "documents"))
-    return mixing.mix(docs, table(spark, d, "mix_targets")).select("doc_id", "source", "n_tokens", "repeats")
+    m = mixing.placed(docs, table(spark, d, "mix_targets"))
+    return m.select("doc_id", "source", "n_tokens", "repeats", F.col("positions")[0].alias("position")).orderBy("position", "source", "doc_id")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +118,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document, in training order."""
     return mixing.curriculum(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
@@ -122,5 +131,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p6_found", "p6_text", "p7_ids", "p8_order", "p8_mix", "p8_shares", "p9_found", "p9_forms")
+    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p3_near_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p6_found", "p6_text", "p7_ids", "p8_order", "p8_mix", "p8_shares", "p9_found", "p9_forms")
     return {n: globals()[n] for n in names}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ctxlake.llm import lookalike
+
 _RUNS = r"""
 WITH e AS (
   SELECT seq, min(struct_pack(t := ts, s := session_id, k := k)) AS m FROM (
@@ -18,18 +20,34 @@ g AS (SELECT session_id, k AS bucket, arg_min(seq, struct_pack(a := ts, b := seq
       FROM r GROUP BY session_id, run, k)
 """
 
-_P1 = r"""
-WITH it AS (
+_RECORDS = r"""
+WITH RECURSIVE it AS (
   SELECT 'chunk' AS item_kind, chunk_id AS id, text FROM chunks
   UNION ALL
   SELECT 'distillation', id, array_to_string(list_transform(from_json(pages_json, '[{"text":"VARCHAR"}]'), lambda p: coalesce(p.text, '')), chr(10) || chr(10)) FROM distillations),
 w AS (SELECT item_kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM it WHERE text IS NOT NULL),
+"""
+
+_P1 = _RECORDS + r"""
 s AS (SELECT DISTINCT item_kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
 n AS (SELECT item_kind, id, count(*) AS n FROM s GROUP BY ALL),
 p AS (SELECT a.item_kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.item_kind = b.item_kind AND a.s = b.s AND a.id < b.id GROUP BY ALL)
 SELECT p.item_kind, id_a, id_b FROM p JOIN n x ON x.item_kind = p.item_kind AND x.id = id_a JOIN n y ON y.item_kind = p.item_kind AND y.id = id_b WHERE c * 2 >= x.n + y.n - c
 """
 
+_P1_CLASSES = _RECORDS + r"""
+k AS (SELECT item_kind, id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS k FROM w WHERE len(w) >= 20),
+m AS (SELECT item_kind, id, k, min(id) OVER (PARTITION BY item_kind, k) AS rep, count(*) OVER (PARTITION BY item_kind, k) AS n FROM k),
+s AS (SELECT item_kind, id, unnest(k) AS s FROM m WHERE id = rep),
+c AS (SELECT item_kind, id, len(k) AS n FROM m WHERE id = rep),
+p AS (SELECT a.item_kind, a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.item_kind = b.item_kind AND a.s = b.s AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT p.item_kind, a, b FROM p JOIN c x ON x.item_kind = p.item_kind AND x.id = a JOIN c y ON y.item_kind = p.item_kind AND y.id = b WHERE c * 5 >= 4 * (x.n + y.n - c)),
+r AS (SELECT item_kind, a, a AS b FROM (SELECT DISTINCT item_kind, a FROM l) UNION SELECT r.item_kind, r.a, l.b FROM r JOIN l ON l.item_kind = r.item_kind AND l.a = r.b),
+g AS (SELECT item_kind, a, min(b) AS g FROM r GROUP BY ALL), d AS (SELECT item_kind, a, count(*) AS links FROM l GROUP BY ALL)
+SELECT m.item_kind, m.id AS item_id, rep AS class_id, n, coalesce(links, 0) AS links, coalesce(g, rep) AS group_id
+FROM m LEFT JOIN d ON d.item_kind = m.item_kind AND d.a = rep LEFT JOIN g ON g.item_kind = m.item_kind AND g.a = rep
+"""
+
 _P5 = r"""
 WITH u AS (SELECT model, arg_max(d, struct_pack(n := n, m := -d)) AS d FROM (SELECT model, len(vector) AS d, count(*) AS n FROM chunk_embeddings WHERE len(vector) > 0 GROUP BY ALL) GROUP BY model),
 v AS (SELECT chunk_id AS id, e.model, vector::DOUBLE[] AS x FROM chunk_embeddings e JOIN u ON u.model = e.model AND u.d = len(e.vector) WHERE list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
@@ -38,14 +56,44 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, o) AS k FROM
 SELECT DISTINCT least(q, o) AS chunk_id_a, greatest(q, o) AS chunk_id_b FROM r WHERE k <= 5 AND c >= 0.9
 """
 
+
+
+def _ranges(chars: str) -> str:
+    """The characters as ranges of a regular expression."""
+    out, points = [], sorted(map(ord, chars))
+    for i in points:
+        if out and out[-1][1] == i - 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+def _forms() -> str:
+    """doc_id, text and the one form of all texts that print something."""
+    src, dst, gone, _ = lookalike.mapping()
+    src, dst = (x.replace("'", "''") for x in (src, dst))
+    form = f"translate(regexp_replace(text, '[{_ranges(gone)}]', '', 'g'), '{src}', '{dst}')"
+    for a, b in lookalike.spelt_letters():
+        form = f"replace({form}, '{a}', '{b}')"
+    return rf"""
+WITH f AS (SELECT doc_id, text, nfc_normalize({form}) AS form FROM documents WHERE text IS NOT NULL),
+s AS (SELECT * FROM f WHERE NOT regexp_full_match(form, '[{_WS}]*'))
+"""
+
+
 _WS = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_classes": _P1_CLASSES,
         "p5_found": _P5,
         "p2_found": f"SELECT chunk_id FROM chunks WHERE round_even(length(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')) / 4.0, 0) > 500",
+        "p9_found": _forms() + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
+        "p9_forms": _forms() + """, c AS (SELECT form, min(doc_id) AS class_id FROM s GROUP BY form)
+SELECT d.doc_id, c.class_id, o.text AS canonical FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.form = s.form LEFT JOIN documents o ON o.doc_id = c.class_id""",
         "p3_found": _RUNS + "SELECT session_id, first_seq, last_seq FROM g WHERE n_events > 1",
         "p3_runs": _RUNS + "SELECT session_id, bucket, first_seq, last_seq, first_ts, last_ts, n_events, duration_s FROM g",
     }
