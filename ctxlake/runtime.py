@@ -20,6 +20,7 @@ def session(master: str = "local[8]", partitions: int = 8, app: str = "ctxlake",
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -32,21 +33,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share. Only where all runs in one process (a local master, as in tests) one
+    is made where none is named; a cluster without it is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ctxlake.local.folder", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="ctxlake-")
+        discard_at_exit(spark, where)
+        spark.conf.set("ctxlake.local.folder", where)
+    return where.rstrip("/")
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, of whatever kind."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver ends."""
+    p, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path under the shared folder that nobody uses, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    p, fs = hadoop_path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder named by spark.checkpoint.dir, so that a lost executor costs nothing and
-    nothing upstream runs twice. A local folder is set only where the session names none, as in tests."""
+    """``df`` written to the shared folder, so that a lost executor costs nothing and nothing upstream runs twice. Spark deletes the files
+    when nobody refers to them any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="ctxlake-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: like checkpointed(), for tables that are read by column or filter."""
-    where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ctxlake-table-")
-    path = f"{where.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """``df`` as a Parquet table in the shared folder: like checkpointed(), for tables that are read by column or filter. Deleted when the driver ends."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

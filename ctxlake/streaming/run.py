@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder if the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix="ctxlake-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ctxlake.runtime import is_folder, new_folder
 
 
 def parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stream of one Parquet file or folder: the parent folder with a name filter, as a stream's source is a folder."""
-    parent, _, name = path.rstrip("/").rpartition("/")
-    if os.path.isdir(path):
+    """A stream of a folder of Parquet files, or of one file: its folder with a name filter, as a stream's source is a folder. The file system
+    itself says which of the two it is, be it local or remote."""
+    path = path.rstrip("/")
+    if is_folder(spark, path):
         return spark.readStream.schema(schema).parquet(path)
+    parent, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run over all that is there now, write each micro-batch to the shared folder, and read that back."""
-    spark, where = stream.sparkSession, _folder(stream.sparkSession)
+    spark = stream.sparkSession
+    where = new_folder(spark, "stream")
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/out/epoch={epoch}")
