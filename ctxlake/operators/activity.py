@@ -42,18 +42,39 @@ def recent(events: DataFrame, n: int, by: str = "session_id", order: str = "seq"
     return few.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
 
 
+def windows(events: DataFrame, n: int, order: str = "seq") -> DataFrame:
+    """The last n events of each session, and, with a null session_id, those of all sessions together: the window of a reader who names no session. That
+    one is a top-k, cut down in every task."""
+    by_session = recent(events.where("session_id IS NOT NULL"), n, order=order)
+    last = events.withColumn("session_id", F.lit(None).cast("string")).orderBy(F.desc(order)).limit(n)
+    return by_session.unionByName(last.withColumn("recency", F.row_number().over(W.Window.partitionBy("session_id").orderBy(F.desc(order)))))  # n rows
+
+
 def modes(events: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """session_id, n, mode."""
-    r = recent(events.where("session_id IS NOT NULL"), cfg.activity_window)
+    """session_id (null for all sessions together), n, mode."""
     of = lambda b: F.count_if(F.col("bucket") == b)
-    g = r.groupBy("session_id").agg(F.count("*").alias("n"), of("edit").alias("e"), of("read").alias("r"), of("bash_test").alias("t"), of("bash_git").alias("g"), of("bash_infra").alias("i"))
+    g = windows(events, cfg.activity_window).groupBy("session_id").agg(F.count("*").alias("n"), of("edit").alias("e"), of("read").alias("r"), of("bash_test").alias("t"), of("bash_git").alias("g"), of("bash_infra").alias("i"))
     return g.select("session_id", "n", mode(F.col("n"), F.col("e"), F.col("r"), F.col("t"), F.col("g"), F.col("i")).alias("mode"))
 
 
 def bucket_counts(events: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    return recent(events.where("session_id IS NOT NULL"), cfg.activity_window).groupBy("session_id", "bucket").agg(F.count("*").alias("n"))
+    return windows(events, cfg.activity_window).groupBy("session_id", "bucket").agg(F.count("*").alias("n"))
 
 
 def retained(events: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The newest events over all sessions: a top-k, no full sort."""
     return events.orderBy(F.desc("seq")).limit(cfg.activity_keep)
+
+
+_ORDER = ("ts", "tool_name", "session_id", "command")
+
+
+def recorded(log: DataFrame, new: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The log after ``new`` (session_id, ts, tool_name, command, in the order of ts) came in: seq goes on from the log's greatest, the bucket is set, and only the
+    newest events stay. New events beyond what stays are cut off first, so numbering them takes no sort of all."""
+    last = new.orderBy(*(F.desc(c) for c in _ORDER)).limit(cfg.activity_keep)
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
+    w = W.Window.partitionBy(F.lit(0)).orderBy(*_ORDER)  # at most activity_keep rows
+    n = last.crossJoin(F.broadcast(top)).withColumn("seq", F.col("top") + F.row_number().over(w))
+    n = n.select("seq", "session_id", "ts", "tool_name", bucket(F.col("tool_name"), F.col("command")).alias("bucket"))
+    return retained(log.select("seq", "session_id", "ts", "tool_name", "bucket").unionByName(n), cfg)

@@ -41,7 +41,7 @@ def manifest(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 def render(entries: Column, tag: str = DEFAULT.tag) -> Column:
     """The manifest (array of line, occurrences; by line) as text; empty for none."""
     rows = F.transform(entries, lambda e: F.concat(F.lit("  ("), e["occurrences"].cast("string"), F.lit("x) "), e["line"]))
-    return F.when(F.size(entries) > 0, F.concat(F.lit(f"{tag} repeated on every page, listed once instead of inline:\n"), F.array_join(rows, "\n"))).otherwise(F.lit(""))
+    return F.when(F.size(entries) > 0, F.concat(F.lit(f"{tag} lines of most pages, given here once:\n"), F.array_join(rows, "\n"))).otherwise(F.lit(""))
 
 
 def rendered(docs: DataFrame, manifests: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -49,3 +49,8 @@ def rendered(docs: DataFrame, manifests: DataFrame, cfg: EngineConfig = DEFAULT)
     m = manifests.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("line", "occurrences"))).alias("entries"))
     both = docs.join(m, "doc_key", "left")
     return both.withColumn("rendered_text", F.when(F.size("entries") > 0, F.concat(render(F.col("entries"), cfg.tag), F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))).drop("entries")
+
+
+def tallies(manifests: DataFrame) -> DataFrame:
+    """doc_key, n_lines, n_occurrences: how many lines were taken out of a document, and how often in all."""
+    return manifests.groupBy("doc_key").agg(F.count("*").alias("n_lines"), F.sum("occurrences").alias("n_occurrences"))

@@ -1,5 +1,5 @@
 """Shorter command output: version-control status, test runs, install logs, everything else. All expressions work within a row on arrays of
-lines; nothing is shuffled and no result is longer than its input."""
+lines; nothing is shuffled and no result is longer than its input. The patterns that tell the kinds apart are fixed values: they are the formats of the tools."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def kind(t: Column) -> Column:
 
 def collapse_repeats(lines: Column) -> Column:
     """Runs of equal lines: the line, and a note of how often it repeats. Each line is laid beside the one before it, so the work is linear."""
-    note = lambda n: F.concat(F.lit("    ... previous line repeated "), (n - 1).cast("string"), F.lit(" more time(s)"))
+    note = lambda n: F.concat(F.lit("    (same line, "), (n - 1).cast("string"), F.lit(" times more)"))
     none = F.array().cast("array<string>")
 
     def starts(a: Column) -> Column:
@@ -52,7 +52,7 @@ def truncate(lines: Column, cfg: EngineConfig = DEFAULT) -> Column:
 
     def cut(a: Column) -> Column:
         hidden = F.size(a) - cfg.max_lines - cfg.tail_lines
-        note = F.array(F.concat(F.lit("    ... "), hidden.cast("string"), F.lit(" line(s) omitted ...")))
+        note = F.array(F.concat(F.lit("    ("), hidden.cast("string"), F.lit(" lines left out)")))
         return F.when(hidden <= 0, a).otherwise(F.concat(F.slice(a, 1, cfg.max_lines), note, F.slice(a, -cfg.tail_lines, cfg.tail_lines)))
 
     return let(lines, cut)
@@ -93,13 +93,13 @@ def git_status(t: Column) -> Column:
     line = r"(?md)^(?:On branch |## )([^" + WS + r"]+)"
     branch = F.when(t.rlike(line), F.concat(F.lit("branch "), F.substring_index(F.regexp_extract(t, line, 1), "...", 1), F.lit("; "))).otherwise(F.lit(""))
     shown = lambda p: F.array_join(F.slice(p, 1, 5), ", ")
-    more = lambda p: F.when(F.size(p) > 5, F.concat(F.lit(", +"), (F.size(p) - 5).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    more = lambda p: F.when(F.size(p) > 5, F.concat(F.lit(" and "), (F.size(p) - 5).cast("string"), F.lit(" others"))).otherwise(F.lit(""))
 
     def text(e: Column) -> Column:
         labels = F.array_sort(F.array_distinct(F.transform(e, lambda x: x["label"])))
         paths = lambda k: F.transform(F.filter(e, lambda x: x["label"] == k), lambda x: x["path"])
         rows = F.transform(labels, lambda k: let(paths(k), lambda p: F.concat(F.lit("  "), k, F.lit(" ("), F.size(p).cast("string"), F.lit("): "), shown(p), more(p))))
-        head = F.concat(branch, F.size(e).cast("string"), F.lit(" path(s) changed"))
+        head = F.concat(branch, F.size(e).cast("string"), F.lit(" paths in all"))
         return F.when(F.size(e) == 0, t).otherwise(F.array_join(F.concat(F.array(head), rows), "\n"))
 
     return let(git_entries(t), text)
@@ -114,11 +114,11 @@ def pytest_run(t: Column) -> Column:
     indent = lambda a: F.transform(a, lambda x: F.concat(F.lit("  "), x))
 
     def fails(f: Column) -> Column:
-        many = F.when(F.size(f) > 20, F.array(F.concat(F.lit("  ... +"), (F.size(f) - 20).cast("string"), F.lit(" more")))).otherwise(none)
-        return F.when(F.size(f) > 0, F.concat(F.array(F.concat(F.size(f).cast("string"), F.lit(" failing:"))), indent(F.slice(f, 1, 20)), many)).otherwise(none)
+        many = F.when(F.size(f) > 20, F.array(F.concat(F.lit("  and "), (F.size(f) - 20).cast("string"), F.lit(" others")))).otherwise(none)
+        return F.when(F.size(f) > 0, F.concat(F.array(F.concat(F.size(f).cast("string"), F.lit(" tests failed:"))), indent(F.slice(f, 1, 20)), many)).otherwise(none)
 
     def detail(d: Column) -> Column:
-        return F.when(F.size(d) > 0, F.concat(F.array(F.lit("first failure:")), indent(F.slice(d, 1, 8)))).otherwise(none)
+        return F.when(F.size(d) > 0, F.concat(F.array(F.lit("the first one:")), indent(F.slice(d, 1, 8)))).otherwise(none)
 
     def block(lines: Column, at: Column) -> Column:
         stop = F.coalesce(F.get(at, F.lit(1)), F.size(lines) + 1)
@@ -142,7 +142,7 @@ def install_log(t: Column) -> Column:
     def kept(lines: Column) -> Column:
         starting = lambda p: F.filter(lines, lambda x: x.startswith(p))
         errors = F.slice(F.filter(lines, lambda x: x.rlike("^(ERROR|error)")), 1, 10)
-        return F.concat(note(F.size(starting("Collecting")), "collected ", " package(s)"), note(F.size(starting("Requirement already satisfied")), "", " already satisfied"), errors, starting("Successfully installed"))
+        return F.concat(note(F.size(starting("Collecting")), "packages: ", ""), note(F.size(starting("Requirement already satisfied")), "already there: ", ""), errors, starting("Successfully installed"))
 
     return _or_text(let(split_lines(t), kept), t)
 
@@ -155,3 +155,8 @@ def compress(t: Column, how: Column | None = None, cfg: EngineConfig = DEFAULT)
     k = how if how is not None else kind(t)
     out = let(k, lambda k: F.when(k == "git-status", git_status(t)).when(k == "pytest", pytest_run(t)).when(k == "install", install_log(t)).otherwise(generic(t, cfg)))
     return F.when(t.isNull() | is_blank(t), t).otherwise(shorter(out, t))
+
+
+def saved_percent(before: Column, after: Column) -> Column:
+    """By how much the output is shorter, in whole percent; 0 for nothing."""
+    return F.when(before > 0, F.bround((1 - after / before) * 100, 0)).otherwise(F.lit(0.0)).cast("int")

@@ -34,6 +34,14 @@ def image_cost(w: float, h: float, cfg: EngineConfig) -> int:
     return max(1, round(w * h / cfg.image_divisor))
 
 
+def crop_box(box: tuple[float, float, float, float], page_height: float, size: tuple[int, int], dpi: float) -> tuple[int, int, int, int]:
+    """Left, top, right, bottom in pixels, by the rules of functions.tokens.crop: flipped, scaled, held within the page; a box without area stands for the page."""
+    x0, y0, x1, y1 = (v * dpi / 72.0 for v in (box[0], page_height - box[3], box[2], page_height - box[1]))
+    hold = lambda v, most: min(max(int(v), 0), most)
+    left, top, right, bottom = hold(x0, size[0]), hold(y0, size[1]), hold(x1, size[0]), hold(y1, size[1])
+    return (left, top, right, bottom) if right > left and bottom > top else (0, 0, *size)
+
+
 def recognise(image: bytes, b: Backends, cfg: EngineConfig, vision: bool, prompt: str) -> tuple[str, str, float, int, list[str]]:
     """method, text, confidence, words, warnings."""
     text, conf, words = b.ocr(image) if b.ocr else ("", 0.0, 0)
@@ -80,10 +88,11 @@ def _figures(data: bytes, i: int, p: pdf.Page, boxes: list, b: Backends, cfg: En
         image = b.rasterise(data, i, 200)
     except Exception as e:
         return [], [f"figures: {e}"]
-    s, out, notes = 200 / 72.0, [], []
-    for x0, y0, x1, y1 in boxes:
+    out, notes = [], []
+    size = (max(1, round(p.width * 200 / 72.0)), max(1, round(p.height * 200 / 72.0))) if not b.measure else b.measure(image)
+    for box in boxes:
         try:
-            part = b.crop(image, (int(x0 * s), int((p.height - y1) * s), int(x1 * s), int((p.height - y0) * s)))
+            part = b.crop(image, crop_box(box, p.height, size, 200))
             text = recognise(part, b, cfg, vision, FIGURE_PROMPT)[1].strip()
             out += [text] if text else []
         except Exception as e:
@@ -111,18 +120,33 @@ def read_pages(files: DataFrame, backends: Backends, cfg: EngineConfig = DEFAULT
     return files.select("content_hash", "path", "content").mapInArrow(run, ROW)
 
 
-def distill(files: DataFrame, cache: DataFrame, backends: Backends, cfg: EngineConfig = DEFAULT, vision: bool = True, figures: bool = True) -> DataFrame:
-    """Page rows of all files: cached ones from ``cache`` (page rows with options), the others read, with repeated lines stripped. The cache key is
-    content and options, so a result without figures never stands in for one with them."""
+def distill(files: DataFrame, cache: DataFrame, backends: Backends, cfg: EngineConfig = DEFAULT, vision: bool = True, figures: bool = True, dedupe: bool = True) -> DataFrame:
+    """Page rows of all files: cached ones from ``cache`` (page rows with options), the others read, with repeated lines stripped unless ``dedupe`` is off (a document of
+    one page has none). The cache key is content and options, so a result without figures never stands in for one with them."""
     options = f"vision={vision},figures={figures}"
     known = cache.where(F.col("options") == options)
     fresh = read_pages(store.misses(files.dropDuplicates(["content_hash"]), known), backends, cfg, vision, figures)
-    fresh = pages.recount(boilerplate.strip_pages(fresh.withColumnRenamed("content_hash", "doc_key"), cfg)).withColumnRenamed("doc_key", "content_hash")
+    if dedupe:
+        fresh = pages.recount(boilerplate.strip_pages(fresh.withColumnRenamed("content_hash", "doc_key"), cfg)).withColumnRenamed("doc_key", "content_hash")
     fresh = fresh.withColumn("options", F.lit(options)).withColumn("cached", F.lit(False))
     again = known.drop("path").join(files.select("content_hash", "path"), "content_hash").withColumn("cached", F.lit(True))
     return fresh.unionByName(again, allowMissingColumns=True)
 
 
+def results(distilled: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """A row a file: content_hash, path, source_type, error, and, of those that were read, the columns of pages.documents() with rendered_text."""
+    ok = distilled.where("error IS NULL").withColumnRenamed("content_hash", "doc_key")
+    once = ok.dropDuplicates(["doc_key", "page_index"])
+    docs = boilerplate.rendered(pages.documents(once), boilerplate.manifest(once, cfg), cfg)
+    names = distilled.select("content_hash", "path", "source_type", "error").distinct()
+    return names.join(docs.withColumnRenamed("doc_key", "content_hash"), "content_hash", "left")
+
+
+def packed_files(distilled: DataFrame) -> DataFrame:
+    """path, text, tokens, error: what pack() takes for the distillable files of a tree."""
+    return results(distilled).select("path", F.col("rendered_text").alias("text"), F.col("distilled_tokens").alias("tokens"), "error")
+
+
 def scan_totals(distilled: DataFrame) -> DataFrame:
     """One row: files read, files failed, raw and distilled tokens."""
     per = distilled.groupBy("content_hash").agg(F.max(F.col("error").isNotNull()).alias("bad"), F.sum(F.coalesce("raw_tokens_est", F.lit(0))).alias("raw"), F.sum(F.coalesce("distilled_tokens_est", F.lit(0))).alias("out"))

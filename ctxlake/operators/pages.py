@@ -60,11 +60,11 @@ def ordered(value: Column, index: Column) -> Column:
 
 def page_list(pages: Column, most: int = 8) -> Column:
     shown = F.array_join(F.transform(F.slice(pages, 1, most), lambda p: (p + 1).cast("string")), ", ")
-    return F.when(F.size(pages) > most, F.concat(shown, F.lit(", +"), (F.size(pages) - most).cast("string"), F.lit(" more"))).otherwise(shown)
+    return F.when(F.size(pages) > most, F.concat(shown, F.lit(" and "), (F.size(pages) - most).cast("string"), F.lit(" others"))).otherwise(shown)
 
 
 def documents(pages: DataFrame) -> DataFrame:
-    """A row a document: page_count, raw and distilled tokens, ratio, counts by method, mean confidence, figures, notes, warnings, text."""
+    """A row a document: page_count, raw and distilled tokens, ratio, counts by method (and all of them as text: methods), mean confidence, figures, notes, warnings, text."""
     figures = F.coalesce(F.col("figures"), F.array().cast("array<string>"))
     uncaptured = (F.col("method") == "native_text") & (F.coalesce("image_count", F.lit(0)) > 0) & (F.size(figures) == 0)
     some = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("page_index"))))
@@ -77,6 +77,7 @@ def documents(pages: DataFrame) -> DataFrame:
         count(["ocr", "ocr_degraded"]).alias("pages_ocr"),
         count(["ocr_degraded"]).alias("pages_degraded"),
         count(["vision"]).alias("pages_vision"),
+        count(["ocr"]).alias("_ocr"),
         F.avg("ocr_confidence").alias("mean_confidence"),
         F.sum(F.size(figures)).alias("figure_count"),
         some(uncaptured).alias("uncaptured"),
@@ -84,16 +85,52 @@ def documents(pages: DataFrame) -> DataFrame:
         F.flatten(ordered(F.coalesce("warnings", F.array().cast("array<string>")), F.col("page_index"))).alias("warnings"),
         F.array_join(ordered(text_with_figures(F.col("text"), figures, F.col("page_index")), F.col("page_index")), "\n\n").alias("text"),
     )
+    told = [F.when(F.col(c) > 0, F.concat(F.lit(f"{m} "), F.col(c).cast("string"))) for m, c in (("native_text", "pages_native"), ("ocr", "_ocr"), ("ocr_degraded", "pages_degraded"), ("vision", "pages_vision"))]
+    d = d.withColumn("methods", F.concat_ws(", ", *told)).drop("_ocr")
     d = d.withColumn("ratio", F.col("raw_tokens") / F.greatest(F.lit(1), F.col("distilled_tokens")))
-    fig = F.concat(F.col("figure_count").cast("string"), F.lit(" embedded figure(s) on "), F.size("described").cast("string"), F.lit(" page(s) were read and transcribed into the text below, labelled [figure N on page M] (pages "), page_list(F.col("described")), F.lit(")"))
-    unc = F.concat(F.size("uncaptured").cast("string"), F.lit(" page(s) contain embedded image(s) (diagrams/figures/illustrations) that could not be read -- their content isn't in the distilled text (pages "), page_list(F.col("uncaptured")), F.lit(")"))
+    fig = F.concat(F.col("figure_count").cast("string"), F.lit(" figure(s) of "), F.size("described").cast("string"), F.lit(" page(s) stand in the text as [figure N on page M]: pages "), page_list(F.col("described")))
+    unc = F.concat(F.lit("images of "), F.size("uncaptured").cast("string"), F.lit(" page(s) have no text here: pages "), page_list(F.col("uncaptured")))
     return d.withColumn("figures_note", F.when(F.size("described") > 0, fig)).withColumn("uncaptured_note", F.when(F.size("uncaptured") > 0, unc))
 
 
-def run_rows(docs: DataFrame, trigger: str) -> DataFrame:
-    """Rows of the run log from documents()."""
+#: How tokens were estimated, in the run log.
+ESTIMATE = "code points / 4, images by area"
+
+
+def run_rows(docs: DataFrame, trigger: str, ts: Column | None = None) -> DataFrame:
+    """Rows of the run log from documents(), with source_path, source_type and duration_ms where given; ``ts`` is the time of writing unless given."""
     label = F.when(F.col("pages_vision") > 0, "vision").when(F.col("pages_ocr") > 0, "ocr").otherwise("native_text")
-    return docs.select("doc_key", F.lit(trigger).alias("trigger"), "page_count", "pages_native", "pages_ocr", "pages_vision", F.round("mean_confidence", 4).alias("mean_confidence"), label.alias("method"), "raw_tokens", "distilled_tokens", F.round("ratio", 4).alias("ratio"), F.lit("ok").alias("status"))
+    given = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("source_path", "string"), ("source_type", "string"), ("duration_ms", "long"))]
+    return docs.select(
+        (F.current_timestamp() if ts is None else ts).cast("timestamp").alias("ts"), "doc_key", *given, F.lit(trigger).alias("trigger"), "page_count", "pages_native", "pages_ocr", "pages_vision", F.round("mean_confidence", 4).alias("mean_confidence"), label.alias("method"),
+        "raw_tokens", "distilled_tokens", F.lit(ESTIMATE).alias("estimate"), F.round("ratio", 4).alias("ratio"), F.col("pages_vision").alias("vision_calls"), F.lit(None).cast("string").alias("vision_model"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("output_path"),
+    )
+
+
+def failed_runs(distilled: DataFrame, trigger: str) -> DataFrame:
+    """Rows of the run log for files that could not be read (content_hash, path, source_type, error of distill()); the other columns are null."""
+    bad = distilled.where("error IS NOT NULL")
+    return bad.select(F.current_timestamp().alias("ts"), F.col("content_hash").alias("doc_key"), F.col("path").alias("source_path"), "source_type", F.lit(trigger).alias("trigger"), F.lit("error").alias("status"), "error")
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Add to the run log. Files are only added, so writers at the same time do not meet; each row gets an id that no other has."""
+    runs.withColumn("run_id", F.expr("uuid()")).write.mode("append").parquet(path)
+
+
+def recent_runs(runs: DataFrame, since: str | None = None, limit: int = 50) -> DataFrame:
+    """The latest runs, newest first: a top-k, no full sort."""
+    r = runs if since is None else runs.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+    return r.orderBy(F.desc("ts"), F.desc("doc_key")).limit(limit)
+
+
+def result_json() -> Column:
+    """The result of a document as JSON: 13 fields, of the columns of documents() with source_path, source_type and duration_ms."""
+    methods = F.map_filter(F.map_from_arrays(F.array(*[F.lit(m) for m in ("native_text", "ocr", "ocr_degraded", "vision")]), F.array(F.col("pages_native"), F.col("pages_ocr") - F.col("pages_degraded"), F.col("pages_degraded"), F.col("pages_vision"))), lambda k, v: v > 0)
+    return F.to_json(F.struct(
+        "source_path", "source_type", "page_count", methods.alias("method_counts"), F.col("raw_tokens").alias("raw_tokens_est"), F.col("distilled_tokens").alias("distilled_tokens_est"), F.round("ratio", 2).alias("compression_ratio"), "duration_ms", "warnings",
+        F.col("uncaptured").alias("pages_with_uncaptured_images"), F.col("described").alias("pages_with_described_figures"), "figure_count", "text",
+    ), {"ignoreNullFields": "false"})
 
 
 def savings(runs: DataFrame, since: str | None = None) -> DataFrame:
@@ -105,6 +142,14 @@ def savings(runs: DataFrame, since: str | None = None) -> DataFrame:
     return s.withColumn("saved_tokens", F.greatest(F.lit(0), F.col("raw_tokens") - F.col("distilled_tokens"))).withColumn("ratio", F.round(F.when(F.col("distilled_tokens") == 0, F.lit(0.0)).otherwise(F.col("raw_tokens") / F.col("distilled_tokens")), 6))
 
 
+def words_read(words: Column) -> Column:
+    """STRUCT<text, confidence, words> of what a recogniser found (array of text, conf): boxes without text, without a number as confidence or with a negative
+    one are no words; the confidence is the mean of the words', 0 without any."""
+    ok = F.filter(words, lambda w: (F.trim(w["text"]) != "") & (F.coalesce(w["conf"].try_cast("double"), F.lit(-1.0)) >= 0))
+    total = F.aggregate(ok, F.lit(0.0), lambda s, w: s + w["conf"].try_cast("double"))
+    return F.struct(F.array_join(F.transform(ok, lambda w: F.trim(w["text"])), " ").alias("text"), F.when(F.size(ok) > 0, total / F.size(ok)).otherwise(F.lit(0.0)).alias("confidence"), F.size(ok).alias("words"))
+
+
 def otsu(levels: DataFrame, by: str, level: str) -> DataFrame:
     """Binarisation threshold of each group of grey levels (0-255): midpoint of the plateau of greatest between-class variance; 128 where one
     level holds everything. Works on histograms, so at most 256 values a group are sorted."""

@@ -35,3 +35,8 @@ def drop_vectors(vectors: DataFrame, chunks: DataFrame, key: str = "chunk_id") -
 
 def listing(cache: DataFrame, n: int = 50, handle: str = "id") -> DataFrame:
     return cache.orderBy(F.desc(handle)).limit(n)
+
+
+def by_handle(cache: DataFrame, handle: int, key: str = "id") -> DataFrame:
+    """The cached row of one handle, or none."""
+    return cache.where(F.col(key) == handle)

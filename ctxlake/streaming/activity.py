@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ctxlake.config import DEFAULT, EngineConfig
+from ctxlake.operators import sessions
 from ctxlake.operators.activity import mode
 
 
@@ -34,24 +35,41 @@ def rolling_modes(events: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return r.select("session_id", n.cast("long").alias("n"), mode(n, of("edit"), of("read"), of("bash_test"), of("bash_git"), of("bash_infra")).alias("mode"), "last_seq")
 
 
+#: How long the id of a read is kept, to know it when it is delivered again.
+KEPT_US = 24 * 3600 * 1_000_000
+
+
 def _first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = set(state.get[0]) if state.exists else set()
-    first = state.get[1] if state.exists else None
+    ids, times, first = state.get if state.exists else ([], [], None)
+    seen = dict(zip(ids, times))
     for b in batches:
-        b = b[~b.id.isin(seen)].drop_duplicates("id").sort_values(["seen_at", "id"])
+        b = b[~b.id.isin(list(seen))].drop_duplicates("id").sort_values(["seen_at", "id"])
         if len(b):
             if first is None:
                 first = int(b.id.iloc[0])
-            seen.update(b.id.tolist())
+            seen.update(zip(b.id.tolist(), (b.seen_at.astype("datetime64[us]").astype("int64")).tolist()))
             yield pd.DataFrame({"id": b.id, "session_id": key[0], "content_hash": key[1], "reread": b.id != first})
-    state.update((sorted(seen), first))
+    newest = max(seen.values(), default=0)
+    seen = {i: t for i, t in seen.items() if t >= newest - KEPT_US}
+    state.update((list(seen), list(seen.values()), first))
 
 
 def reread_stream(reads: DataFrame) -> DataFrame:
     """From a stream (id, session_id, content_hash, seen_at): id, session_id, content_hash, reread. A read is a repetition if its session had the content
-    in an earlier micro-batch, or earlier in this one; reads without a session are kept out of the state."""
-    r = reads.where("session_id IS NOT NULL").select("id", "session_id", "content_hash", "seen_at")
-    return r.groupBy("session_id", "content_hash").applyInPandasWithState(_first, "id long, session_id string, content_hash string, reread boolean", "seen array<long>, first long", "append", GroupStateTimeout.NoTimeout)
+    in an earlier micro-batch, or earlier in this one; reads without a session are kept out of the state. The state of a session and content is its
+    first id and the ids of its last day, so a row delivered again within a day counts once."""
+    r = reads.where("session_id IS NOT NULL AND seen_at IS NOT NULL").select("id", "session_id", "content_hash", "seen_at")
+    return r.groupBy("session_id", "content_hash").applyInPandasWithState(_first, "id long, session_id string, content_hash string, reread boolean", "ids array<long>, times array<long>, first long", "append", GroupStateTimeout.NoTimeout)
+
+
+def decision_stream(reads: DataFrame, shown: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """sessions.decisions() of a stream of reads, joined with the table of cached documents: id, decision, branch, response. Reads without a session are never
+    repetitions; those that pass, whatever the reason, go by untouched."""
+    g = sessions.gated(reads, shown, cfg)
+    asked = g.where("gate IS NULL")
+    known = reread_stream(asked).select("id", "content_hash", "reread")
+    free = asked.where("session_id IS NULL OR seen_at IS NULL").select("id", "content_hash", F.lit(False).alias("reread"))
+    return sessions.answered(known.unionByName(free), shown, cfg).unionByName(sessions.passed(g))
 
 
 def events_per_window(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
