@@ -10,6 +10,8 @@ Where a least cosine is given and no number of probes, nothing is lost: a query
 vector, by its distance from the plane between the list's centroid and its own nearest one and by the angles of the list's
 members, and columns abandon a candidate only once its partial distance itself exceeds the bound.
 
+The shared centroids are at most an eighth of the sample; where lists grow beyond that, each unit cuts its own into shorter ones (local centroids, the same bounds).
+
 Hot groups: identical vectors are searched once, their copies are linked through a common class. A list of any length is
 cut into blocks of at most ``block`` vectors, each its own task unit; queries go to every block of a list they probe.
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from ctxlake.runtime import checkpointed, sample_by_hash, shuffle_partitions
 
 
+#: Vectors of a list, beyond twice which a unit cuts it up, and vectors on which that is fitted.
+LOCAL_SIZE, LOCAL_SAMPLE = 512, 4096
 #: A vector without null or non-finite numbers and with one that is not 0.
 USABLE = "forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <> double('Infinity')) AND exists(vec, x -> x <> 0)"
 
@@ -206,11 +210,10 @@ def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: in
     """Like _nearest, for units of several lists, each compared with all queries whose neighbours it can hold."""
     most, alpha = np.float32(2 - 2 * min_cosine), np.arccos(max(-1.0, min_cosine))
 
-    def answer(ids, q, c, lists, members):
-        sim = q @ c.T
-        may, angle, found = _may_hold(sim, c, lists, min_cosine), np.arccos(np.clip(sim[:, lists], -1, 1)), []
-        for j, (base_ids, base, lo, hi) in enumerate(members):
-            rows = np.flatnonzero(may[:, j] & (angle[:, j] <= hi + alpha + 1e-3) & (angle[:, j] >= lo - alpha - 1e-3))
+    def answer(ids, q, c, lists, members, heads):
+        may, angle, found = _may_hold(q @ c.T, c, lists, min_cosine), np.arccos(np.clip(q @ heads.T, -1, 1)), []
+        for m, (j, base_ids, base, lo, hi) in enumerate(members):
+            rows = np.flatnonzero(may[:, j] & (angle[:, m] <= hi + alpha + 1e-3) & (angle[:, m] >= lo - alpha - 1e-3))
             for i in range(0, len(base) if len(rows) else 0, 4096):
                 qi, bi, cos = scan(q[rows], base[i : i + 4096], np.full(len(rows), most, np.float32), k, None, step)
                 keep = (ids[rows[qi]] != base_ids[i + bi]) & (cos >= min_cosine)
@@ -222,13 +225,21 @@ def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: in
         return ids[qi[top]], o[top], cos[top].astype(np.float64)
 
     def by_list(c, base):
+        """The lists of a unit, a long one cut into lists of its own around centroids fitted here on at most LOCAL_SAMPLE of its vectors, each with the angles of
+        its members, so the number of lists grows with the vectors though that of the shared centroids does not."""
         ids, own, x = (np.concatenate(a) for a in zip(*base))
-        lists = np.unique(own)
-        angle, members = np.arccos(np.clip(np.einsum("ij,ij->i", x, c[own]), -1, 1)), []
-        for j in lists:
+        lists, members, heads = np.unique(own), [], []
+        for at, j in enumerate(lists):
             r = np.flatnonzero(own == j)
-            members.append((ids[r], x[r], angle[r].min(), angle[r].max()))
-        return lists, members
+            parts = len(r) // LOCAL_SIZE
+            local = c[j : j + 1] if parts < 2 else fit_centroids(x[r[:: max(1, len(r) // LOCAL_SAMPLE)]], parts, rounds=3)
+            side = np.zeros(len(r), int) if parts < 2 else np.concatenate([np.argmax(x[r[i : i + 4096]] @ local.T, 1) for i in range(0, len(r), 4096)])
+            for g in np.unique(side):
+                rows = r[side == g]
+                angle = np.arccos(np.clip(x[rows] @ local[g], -1, 1))
+                members.append((at, ids[rows], x[rows], angle.min(), angle.max()))
+                heads.append(local[g])
+        return lists, members, np.array(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base, held = None, [], None

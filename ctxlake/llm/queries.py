@@ -24,15 +24,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p.select(_kind(F.col("a")).alias("item_kind"), F.expr("a div 2").alias("id_a"), F.expr("b div 2").alias("id_b"))
 
 
-def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row a record: the class of its exact set of five-word shingles, its size, the number of other classes at 0.8 or more, and the group that such
-    links connect."""
-    members, links = dedup.classes(_records(spark, d))
+def _groups(spark: SparkSession, d: str, **how) -> DataFrame:
+    """One row a record: the class of its exact set of shingles, its size, the number of other classes near it, and the group that such links connect."""
+    members, links = dedup.classes(_records(spark, d), **how)
     both = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     m = members.join(both, "rep", "left").join(dedup.components(links).withColumnRenamed("node", "rep"), "rep", "left")
     return m.select(_kind(F.col("gid")).alias("item_kind"), F.expr("gid div 2").alias("item_id"), F.expr("rep div 2").alias("class_id"), "n", F.coalesce("links", F.lit(0)).alias("links"), F.expr("coalesce(group_id, rep) div 2").alias("group_id"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """With five words and 0.8."""
+    return _groups(spark, d)
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """With the parameters of p1_found: the membership behind its pairs."""
+    return _groups(spark, d, size=3, threshold=0.5)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks")).where("piece_index = 0").select("chunk_id")
 
@@ -131,5 +140,5 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ("p1_found", "p1_classes", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p3_near_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p6_found", "p6_text", "p7_ids", "p8_order", "p8_mix", "p8_shares", "p9_found", "p9_forms")
+    names = ("p1_found", "p1_classes", "p1_groups", "p2_found", "p2_pieces", "p3_found", "p3_runs", "p3_near_runs", "p4_found", "p4_segments", "p5_found", "p5_knn", "p6_found", "p6_text", "p7_ids", "p8_order", "p8_mix", "p8_shares", "p9_found", "p9_forms")
     return {n: globals()[n] for n in names}

@@ -36,18 +36,24 @@ SELECT p.item_kind, id_a, id_b FROM p JOIN n x ON x.item_kind = p.item_kind AND
 """
 
 _P1_CLASSES = _RECORDS + r"""
-k AS (SELECT item_kind, id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS k FROM w WHERE len(w) >= 20),
+k AS (SELECT item_kind, id, list_sort(list_distinct(list_transform(range(1, len(w) - {last}), lambda i: array_to_string(w[i:i + {more}], ' ')))) AS k FROM w WHERE len(w) >= 20),
 m AS (SELECT item_kind, id, k, min(id) OVER (PARTITION BY item_kind, k) AS rep, count(*) OVER (PARTITION BY item_kind, k) AS n FROM k),
 s AS (SELECT item_kind, id, unnest(k) AS s FROM m WHERE id = rep),
 c AS (SELECT item_kind, id, len(k) AS n FROM m WHERE id = rep),
 p AS (SELECT a.item_kind, a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.item_kind = b.item_kind AND a.s = b.s AND a.id <> b.id GROUP BY ALL),
-l AS (SELECT p.item_kind, a, b FROM p JOIN c x ON x.item_kind = p.item_kind AND x.id = a JOIN c y ON y.item_kind = p.item_kind AND y.id = b WHERE c * 5 >= 4 * (x.n + y.n - c)),
+l AS (SELECT p.item_kind, a, b FROM p JOIN c x ON x.item_kind = p.item_kind AND x.id = a JOIN c y ON y.item_kind = p.item_kind AND y.id = b WHERE c * {den} >= {num} * (x.n + y.n - c)),
 r AS (SELECT item_kind, a, a AS b FROM (SELECT DISTINCT item_kind, a FROM l) UNION SELECT r.item_kind, r.a, l.b FROM r JOIN l ON l.item_kind = r.item_kind AND l.a = r.b),
 g AS (SELECT item_kind, a, min(b) AS g FROM r GROUP BY ALL), d AS (SELECT item_kind, a, count(*) AS links FROM l GROUP BY ALL)
 SELECT m.item_kind, m.id AS item_id, rep AS class_id, n, coalesce(links, 0) AS links, coalesce(g, rep) AS group_id
 FROM m LEFT JOIN d ON d.item_kind = m.item_kind AND d.a = rep LEFT JOIN g ON g.item_kind = m.item_kind AND g.a = rep
 """
 
+
+def _groups(words: int, num: int, den: int) -> str:
+    """Classes and groups at a similarity of num / den."""
+    return _P1_CLASSES.replace("{last}", str(words - 2)).replace("{more}", str(words - 1)).replace("{num}", str(num)).replace("{den}", str(den))
+
+
 _P5 = r"""
 WITH u AS (SELECT model, arg_max(d, struct_pack(n := n, m := -d)) AS d FROM (SELECT model, len(vector) AS d, count(*) AS n FROM chunk_embeddings WHERE len(vector) > 0 GROUP BY ALL) GROUP BY model),
 v AS (SELECT chunk_id AS id, e.model, vector::DOUBLE[] AS x FROM chunk_embeddings e JOIN u ON u.model = e.model AND u.d = len(e.vector) WHERE list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
@@ -88,7 +94,8 @@ _WS = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
-        "p1_classes": _P1_CLASSES,
+        "p1_classes": _groups(5, 4, 5),
+        "p1_groups": _groups(3, 1, 2),
         "p5_found": _P5,
         "p2_found": f"SELECT chunk_id FROM chunks WHERE round_even(length(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')) / 4.0, 0) > 500",
         "p9_found": _forms() + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",

@@ -72,6 +72,16 @@ def test_hot_band(spark):
     assert pairs.count() == pairs.distinct().count() == 500 * 499 // 2 and pairs.agg(F.max("b")).first()[0] == 499
 
 
+def test_groups_with_the_parameters_of_the_pairs(spark, sf):
+    """p1_groups gives the membership behind p1_found: every pair is in one group, and every group of several is held together by pairs."""
+    groups = {(r.item_kind, r.item_id): r.group_id for r in queries.p1_groups(spark, sf).collect()}
+    pairs = [tuple(r) for r in queries.p1_found(spark, sf).collect()]
+    assert pairs and all(groups[k, a] == groups[k, b] for k, a, b in pairs)
+    paired = {(k, x) for k, a, b in pairs for x in (a, b)}
+    sizes = Counter((k, g) for (k, _), g in groups.items())
+    assert all((sizes[k, g] > 1) == ((k, i) in paired) for (k, i), g in groups.items())
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000 + i, 5000) for i in range(300)] + [(7, 7)]
@@ -315,6 +325,31 @@ def test_no_pair_is_lost_among_many_lists(spark):
         assert {tuple(r) for r in knn.near_pairs(df, list_size=8, **how).collect()} == want
 
 
+def test_long_lists_are_cut_up_without_loss(spark, monkeypatch):
+    """Few shared centroids and many vectors in clusters: units fit lists of their own, no pair is lost and most comparisons are saved."""
+    monkeypatch.setattr(knn, "LOCAL_SIZE", 40)
+    rng = np.random.default_rng(8)
+    heads = rng.standard_normal((60, 24))
+    x = (heads[rng.integers(0, 60, 3000)] + 0.35 * rng.standard_normal((3000, 24))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = knn.fit_centroids(x, 4)
+    seen = []
+    real = knn.scan
+    monkeypatch.setattr(knn, "scan", lambda q, b, *a: (seen.append(len(q) * len(b)), real(q, b, *a))[1])
+    own = (x @ c.T).argmax(1)
+    row = lambda role: pa.RecordBatch.from_arrays([pa.array(["m"] * 3000), *(pa.array([0] * 3000, pa.int32()) for _ in range(3)), pa.array([role] * 3000, pa.int32()), pa.array(own.astype(np.int32)), pa.array(np.arange(3000)), pa.array([v.tobytes() for v in x], pa.binary())], names=["model", "group", "block", "slice", "role", "list", "id", "v"])
+    got = {}
+    for b in knn._every(5, 0.9, {"m": c}, 8)(iter([row(0), row(1)])):
+        for r in b.to_pylist():
+            got.setdefault(r["q"], []).append((round(-r["cosine"], 4), r["o"]))
+    sim = x @ x.T
+    np.fill_diagonal(sim, -1)
+    want = {i: sorted((round(-float(sim[i, j]), 4), j) for j in np.flatnonzero(sim[i] >= 0.9))[:5] for i in range(3000)}
+    assert got.keys() == {i for i, w in want.items() if w}
+    assert all(np.allclose([c for c, _ in sorted(g)], [c for c, _ in want[i]], atol=3e-4) for i, g in got.items())
+    assert sum(seen) < 3000 * 3000 / 4
+
+
 def test_hot_copies_of_a_vector(spark):
     df = spark.createDataFrame([(i, "m", [1.0, 2.0, 3.0]) for i in range(200)] + [(500 + i, "m", [1.0, 2.0, 3.1 + i]) for i in range(3)], "chunk_id long, model string, vector array<float>")
     n = knn.neighbours(df, k=3)
