@@ -89,7 +89,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_knn(spark: SparkSession, d: str) -> DataFrame:
-    n = knn.neighbours(table(spark, d, "chunk_embeddings"), k=5, query_every=20, probes=0.5)
+    n = knn.neighbours(table(spark, d, "chunk_embeddings"), k=5, query_every=20, probes=24)
     return n.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "rank", F.round("cosine", 4).alias("cosine"))
 
 
