@@ -8,8 +8,10 @@ from pyspark.sql import window as W
 
 from ctxlake.functions import text as T
 from ctxlake.functions import tokens as K
-from ctxlake.operators import activity, audit, boilerplate, chunking, compress, pack, pages, retrieval, sessions, store
+from ctxlake.operators import activity, audit, boilerplate, chunking, compress, distill, pack, pages, retrieval, sessions, store
+from ctxlake.plans import fixtures
 from ctxlake.plans.core_sql import oracle_sql
+from ctxlake.sources import files, pdf
 from ctxlake.runtime import checkpointed, hadoop_path, new_folder, spread, table
 from ctxlake.streaming import activity as streams
 from ctxlake.streaming.run import drain, parquet_stream
@@ -196,6 +198,19 @@ def _results(s: SparkSession, d: str) -> DataFrame:
     return j.select("doc_key", F.array_join(F.json_object_keys("j"), ",").alias("keys"), g("page_count").cast("long").alias("page_count"), g("method_counts.native_text").cast("long").alias("native"), g("method_counts.ocr_degraded").cast("long").alias("degraded"), g("compression_ratio").cast("double").alias("ratio"), g("figure_count").cast("long").alias("figures"), F.sha2(g("text"), 256).alias("sha"))
 
 
+def _page_rows(p: DataFrame) -> DataFrame:
+    return p.select("path", "page_index", "method", F.sha2("text", 256).alias("sha"), "ocr_confidence", "ocr_word_count", "raw_tokens_est", "distilled_tokens_est", F.array_join("warnings", "|").alias("warnings"), "image_count", F.array_join("figures", "|").alias("figures"), F.substring_index("error", ":", 1).alias("error"))
+
+
+def _distill(s: SparkSession, d: str) -> DataFrame:
+    """Files of which half are in the cache, with other figures' options for some: those are read again."""
+    f = fixtures.files(s, d)
+    read = distill.read_pages(f.where("ascii(substring(content_hash, 1, 1)) % 2 = 0"), fixtures.STAND_INS).where("error IS NULL")
+    wrong = F.ascii(F.substring("content_hash", 2, 1)) % 2 == 0
+    cache = checkpointed(read.withColumn("options", F.when(wrong, "vision=True,figures=False").otherwise("vision=True,figures=True")))
+    return distill.distill(f, cache, fixtures.STAND_INS)
+
+
 def queries() -> dict:
     t = table
     q = {
@@ -224,6 +239,12 @@ def queries() -> dict:
         "words_read": _found_words,
         "savings_report": lambda s, d: pages.savings(_runs(s, d)),
         "savings_since": lambda s, d: pages.savings(_runs(s, d), "2009-03-04"),
+        "pdf_pages": lambda s, d: pdf.pages(fixtures.files(s, d).where("path LIKE '%.pdf'")).select("path", "page_index", F.sha2("text", 256).alias("sha"), "width", "height", F.to_json("boxes").alias("boxes"), F.substring_index("error", ":", 1).alias("error")),
+        "read_pages": lambda s, d: _page_rows(distill.read_pages(fixtures.files(s, d), fixtures.STAND_INS)),
+        "distill_cached": lambda s, d: _distill(s, d).select("path", "page_index", "cached", F.sha2("text", 256).alias("sha"), "distilled_tokens_est"),
+        "scan_totals": lambda s, d: distill.scan_totals(_distill(s, d)),
+        "tool_events": lambda s, d: files.events(fixtures.event_lines(s, d)).select("session_id", "tool_name", "file_path", "offset", activity.bucket(F.col("tool_name"), F.col("command")).alias("bucket")),
+        "stream_tool_events": lambda s, d: drain(files.events(fixtures.event_lines(s, d, parquet_stream(s, f"{d}/activity_log.parquet", t(s, d, "activity_log").schema))), "append").select("session_id", "tool_name", "file_path", "offset", activity.bucket(F.col("tool_name"), F.col("command")).alias("bucket")),
         "boilerplate_lines": lambda s, d: boilerplate.find(_pages(s, d)),
         "boilerplate_strip": lambda s, d: boilerplate.strip_pages(_pages(s, d)).select("page_id", "text"),
         "boilerplate_manifest": lambda s, d: boilerplate.manifest(_pages(s, d)),

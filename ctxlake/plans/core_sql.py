@@ -146,12 +146,47 @@ rr AS (SELECT *, gate IS NULL AND session_id IS NOT NULL AND row_number() OVER (
 o AS (SELECT rr.id, gate, {_BRANCH} AS branch, {_BODY} AS body FROM rr LEFT JOIN s ON s.doc_key = rr.content_hash)"""
 
 
+#: Pages of the made files: their stripped lines, and what distilling makes of them.
+_FILES = rf"""f AS (SELECT doc_id, doc_id % 10 AS kind, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.,]+', ' ', 'g')) AS t, '/in/' || doc_id || CASE doc_id % 10 WHEN 0 THEN '.PNG' WHEN 2 THEN '.gif' ELSE '.pdf' END AS path, sha256(doc_id::VARCHAR) AS h FROM documents),
+pp AS (SELECT *, unnest(range(greatest(1, ceil(length(t) / 300.0)::BIGINT)))::INTEGER AS page_index FROM f WHERE kind NOT IN (0, 1, 2)),
+pt AS (SELECT *, {_strip("array_to_string(list_filter([substr(t, page_index * 300 + 1, 100), substr(t, page_index * 300 + 101, 100), substr(t, page_index * 300 + 201, 100)], lambda x: x <> ''), chr(10))")} AS text, CASE WHEN (doc_id + page_index) % 3 = 0 THEN 1 ELSE 0 END AS image FROM pp),
+rp AS (SELECT h, path, page_index, 'native_text' AS method, text, NULL::DOUBLE AS ocr_confidence, NULL::INTEGER AS ocr_word_count, 2534 + {_tok("text")} AS raw, '' AS warnings, image AS image_count, CASE WHEN image = 1 THEN 'figure 833 1700 1055 1922' ELSE '' END AS figures, NULL AS error FROM pt WHERE length(text) >= 20
+  UNION ALL SELECT h, path, page_index, CASE WHEN page_index % 2 = 0 THEN 'vision' ELSE 'ocr_degraded' END, CASE WHEN page_index % 2 = 0 THEN 'seen page ' || page_index ELSE 'page ' || page_index || ' again' END, 60.0, 3, 2534, CASE WHEN page_index % 2 = 0 THEN '' ELSE 'low confidence and no vision service' END, 0, '', NULL FROM pt WHERE length(text) < 20
+  UNION ALL SELECT h, path, 0, 'ocr', {_strip("substr('image of ' || t, 1, 40)")}, 95.0, 9, 2534, '', 0, '', NULL FROM f WHERE kind = 0
+  UNION ALL SELECT h, path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'ValueError' FROM f WHERE kind IN (1, 2)),
+rt AS (SELECT *, {_tok("text")} + CASE WHEN figures = '' THEN 0 ELSE {_tok("figures")} END AS distilled, ascii(h[1]) % 2 = 0 AND ascii(h[2]) % 2 = 1 AND error IS NULL AS cached FROM rp)"""
+_CALLS = "ev AS (SELECT *, seq % 10 = 0 AS broken FROM activity_log), tc AS (SELECT CASE WHEN NOT broken THEN session_id END AS session_id, CASE WHEN NOT broken THEN tool_name END AS tool_name, CASE WHEN NOT broken THEN '/f/' || seq || '.md' END AS file_path, CASE WHEN NOT broken AND seq % 3 = 0 THEN seq % 50 END::INTEGER AS \"offset\" FROM ev) SELECT *, CASE WHEN tool_name IN ('Edit', 'Write', 'NotebookEdit') THEN 'edit' WHEN tool_name IN ('Read', 'Glob', 'Grep') THEN 'read' WHEN tool_name = 'Bash' THEN 'bash_test' WHEN tool_name IN ('WebFetch', 'WebSearch') THEN 'web' ELSE 'other' END AS bucket FROM tc"
+#: Chunks: paragraphs are packed while they fit, longer ones cut between words, both by recursion; the tails come last.
+_CHUNKS = rf"""WITH RECURSIVE pa AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS j FROM documents WHERE text IS NOT NULL),
+pb AS MATERIALIZED (SELECT doc_id, p, {_len("p")} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM pa WHERE {_strip("p")} <> ''),
+pk AS (SELECT doc_id, i, 1 AS g, n AS held, n > 2000 AS long FROM pb WHERE i = 1
+  UNION ALL SELECT b.doc_id, b.i, CASE WHEN pk.long OR b.n > 2000 OR pk.held + 2 + b.n > 2000 THEN g + 1 ELSE g END, CASE WHEN pk.long OR b.n > 2000 OR pk.held + 2 + b.n > 2000 THEN b.n ELSE pk.held + 2 + b.n END, b.n > 2000 FROM pk JOIN pb b ON b.doc_id = pk.doc_id AND b.i = pk.i + 1),
+wl AS MATERIALIZED (SELECT doc_id, g, i, list_filter(string_split_regex(p, '[{_WS}]+'), lambda x: x <> '') AS w FROM pk JOIN pb USING (doc_id, i) WHERE long),
+we AS MATERIALIZED (SELECT *, list_prepend(0, list_transform(range(1, len(w) + 1), lambda k: list_sum(list_transform(w[1:k], lambda x: {_len("x")} + 1))::BIGINT)) AS e FROM wl),
+ct AS (SELECT doc_id, g, 0 AS c, 0::BIGINT AS lo, greatest(1, len(list_filter(e[2:], lambda x: x <= 2000))) AS k FROM we
+  UNION ALL SELECT z.doc_id, z.g, z.c + 1, z.nlo, greatest(z.nlo + 1, z.nlo + len(list_filter(z.e[z.nlo + 2:], lambda x: x - z.e[z.nlo + 1] <= 2000))) FROM
+    (SELECT ct.doc_id, ct.g, ct.c, we.e, we.w, ct.k, ct.k - len(list_filter(we.e[ct.lo + 1:ct.k], lambda x: we.e[ct.k + 1] - x <= 200)) AS nlo FROM ct JOIN we ON we.doc_id = ct.doc_id AND we.g = ct.g WHERE ct.k < len(we.w)) z),
+ba AS (SELECT doc_id, g, 0 AS c, {_strip("string_agg(p, chr(10) || chr(10) ORDER BY i)")} AS t FROM pk JOIN pb USING (doc_id, i) WHERE NOT long GROUP BY doc_id, g
+  UNION ALL SELECT ct.doc_id, ct.g, ct.c, array_to_string(we.w[ct.lo + 1:ct.k], ' ') FROM ct JOIN we ON we.doc_id = ct.doc_id AND we.g = ct.g),
+nb AS (SELECT *, (row_number() OVER o - 1)::INTEGER AS chunk_index, lag(t) OVER o AS before FROM ba WINDOW o AS (PARTITION BY doc_id ORDER BY g, c)),
+oc AS (SELECT doc_id, chunk_index, CASE WHEN before IS NULL THEN t ELSE regexp_extract(before, '(?s).{{0,200}}$') || chr(10) || chr(10) || t END AS text FROM nb)
+SELECT doc_id, chunk_index, text, {_tok("text")} AS token_count FROM oc"""
+
+
 def oracle_sql() -> dict[str, str]:
     box = "SELECT l_orderkey, l_linenumber, (l_suppkey % 600)::DOUBLE AS x0, (l_partkey % 700)::DOUBLE AS y0, l_suppkey % 600 + l_quantity * 3 AS x1, l_partkey % 700 + l_linenumber * 20.0::DOUBLE AS y1 FROM lineitem"
     hold = lambda v, m: f"least(greatest(trunc({v})::BIGINT, 0), {m})"
     k = "(150.0::DOUBLE / 72.0::DOUBLE)"
     pw, ph = "greatest(1.0, round_even((page_id % 700 + 300)::DOUBLE * 150.0 / 72.0, 0))", "greatest(1.0, round_even((page_id % 500 + 400.5)::DOUBLE * 150.0 / 72.0, 0))"
     return {
+        "chunk_text": _CHUNKS,
+        "pdf_pages": f"""WITH {_FILES} SELECT path, page_index, sha256(text) AS sha, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, CASE WHEN image = 1 THEN '[{{"x0":300.0,"y0":100.0,"x1":380.0,"y1":180.0}}]' ELSE '[]' END AS boxes, NULL::VARCHAR AS error FROM pt
+            UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, 'ValueError' FROM f WHERE kind = 1""",
+        "read_pages": f"WITH {_FILES} SELECT path, page_index, method, sha256(text) AS sha, ocr_confidence, ocr_word_count, raw::INTEGER AS raw_tokens_est, CASE WHEN error IS NULL THEN distilled END::INTEGER AS distilled_tokens_est, warnings, image_count::INTEGER AS image_count, figures, error FROM rt",
+        "distill_cached": f"WITH {_FILES} SELECT path, page_index, cached, sha256(text) AS sha, CASE WHEN error IS NULL THEN distilled ELSE 0 END::INTEGER AS distilled_tokens_est FROM rt",
+        "scan_totals": f"WITH {_FILES} SELECT count(DISTINCT h) FILTER (error IS NULL) AS ok, count(DISTINCT h) FILTER (error IS NOT NULL) AS failed, sum(raw)::BIGINT AS raw_tokens, sum(CASE WHEN error IS NULL THEN distilled ELSE 0 END)::BIGINT AS distilled_tokens FROM rt",
+        "tool_events": f"WITH {_CALLS}",
+        "stream_tool_events": f"WITH {_CALLS}",
         "text_tokens": f"SELECT doc_id, {_tok('text')} AS tokens FROM documents",
         "image_tokens": f"SELECT p_partkey, {_img('(p_size * 97 - 60)', '(p_partkey % 3000 - 2)')} AS tokens FROM part",
         "downscaled": "SELECT p_partkey, " + ", ".join(f"(CASE WHEN greatest(p_size * 97, p_partkey % 3000 + 1) <= 1568 THEN {x} ELSE greatest(1.0, round_even(({x})::DOUBLE * (1568.0::DOUBLE / greatest(p_size * 97, p_partkey % 3000 + 1)), 0)) END)::BIGINT AS {n}" for x, n in (("p_size * 97", "w"), ("p_partkey % 3000 + 1", "h"))) + " FROM part",
