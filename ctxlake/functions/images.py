@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Images with a side under this many pixels are enlarged by this factor.
-SMALL, FACTOR = 1000, 2
+SMALL, FACTOR = 600, 2
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from ctxlake.functions import text as T
 from ctxlake.functions import tokens as K
-from ctxlake.operators import activity, audit, boilerplate, chunking, compress, distill, pack, pages, retrieval, sessions, store
+from ctxlake.operators import activity, audit, boilerplate, chunking, compress, distill, flows, pack, pages, retrieval, sessions, store
 from ctxlake.plans import fixtures
 from ctxlake.plans.core_sql import oracle_sql
 from ctxlake.sources import files, pdf
@@ -211,6 +211,11 @@ def _distill(s: SparkSession, d: str) -> DataFrame:
     return distill.distill(f, cache, fixtures.STAND_INS)
 
 
+def _indexed_tree(s: SparkSession, d: str) -> DataFrame:
+    v = flows.index_tree(_tree(s, d), new_folder(s, "tree"), distilled=_distilled(s, d))
+    return v.chunks.select("source_path", "chunk_index", "token_count", F.sha2("text", 256).alias("sha"))
+
+
 def queries() -> dict:
     t = table
     q = {
@@ -258,6 +263,9 @@ def queries() -> dict:
         "cosine_topk": lambda s, d: retrieval.cosine_top(_vectors(s, d), _asked(s, d), 10),
         "search_answers": lambda s, d: retrieval.answers(_best(s, d), t(s, d, "chunks")),
         "hybrid_topk": _hybrid,
+        "index_tree": _indexed_tree,
+        "runs_of_misses": lambda s, d: flows.new_runs(_distill(s, d), "read").select("doc_key", "source_path", "trigger", "page_count", "pages_native", "pages_ocr", "pages_vision", "status", F.substring_index("error", ":", 1).alias("error")),
+        "file_results": lambda s, d: flows.file_results(_distill(s, d)).select("path", "cached", F.get_json_object("result", "$.page_count").cast("long").alias("page_count"), F.get_json_object("result", "$.figure_count").cast("long").alias("figures"), F.substring_index("error", ":", 1).alias("error")),
         "reindex_replace": lambda s, d: store.replace_source(t(s, d, "chunks"), _fresh(s, d)).select("chunk_id", "source_path", "chunk_index", T.text_tokens("text").alias("tokens")),
         "vectors_left": lambda s, d: store.drop_vectors(t(s, d, "chunk_embeddings"), store.replace_source(t(s, d, "chunks"), _fresh(s, d))).select("chunk_id", "model"),
         "compress_kind": lambda s, d: _logs(s, d).select("doc_id", compress.kind(F.col("text")).alias("kind")),

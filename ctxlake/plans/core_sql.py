@@ -180,6 +180,9 @@ def oracle_sql() -> dict[str, str]:
     pw, ph = "greatest(1.0, round_even((page_id % 700 + 300)::DOUBLE * 150.0 / 72.0, 0))", "greatest(1.0, round_even((page_id % 500 + 400.5)::DOUBLE * 150.0 / 72.0, 0))"
     return {
         "chunk_text": _CHUNKS,
+        "index_tree": f"WITH RECURSIVE {_PACK}, " + _CHUNKS[len("WITH RECURSIVE ") :].replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT path AS doc_id, text FROM pk WHERE route <> 'skip')").replace("SELECT doc_id, chunk_index, text, ", "SELECT doc_id AS source_path, chunk_index, sha256(text) AS sha, ").replace("pk AS (SELECT doc_id, i, 1", "gr AS (SELECT doc_id, i, 1").replace("pk.", "gr.").replace("FROM pk JOIN", "FROM gr JOIN"),
+        "runs_of_misses": f"WITH {_FILES} SELECT h AS doc_key, path AS source_path, 'read' AS trigger, CASE WHEN max(error) IS NULL THEN count(*) END AS page_count, CASE WHEN max(error) IS NULL THEN count(*) FILTER (method = 'native_text') END AS pages_native, CASE WHEN max(error) IS NULL THEN count(*) FILTER (method IN ('ocr', 'ocr_degraded')) END AS pages_ocr, CASE WHEN max(error) IS NULL THEN count(*) FILTER (method = 'vision') END AS pages_vision, CASE WHEN max(error) IS NULL THEN 'ok' ELSE 'error' END AS status, max(error) AS error FROM rt WHERE NOT cached GROUP BY h, path",
+        "file_results": f"WITH {_FILES} SELECT path, bool_and(cached) AS cached, CASE WHEN max(error) IS NULL THEN count(*) END AS page_count, CASE WHEN max(error) IS NULL THEN count(*) FILTER (figures <> '') END AS figures, max(error) AS error FROM rt GROUP BY path",
         "pdf_pages": f"""WITH {_FILES} SELECT path, page_index, sha256(text) AS sha, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, CASE WHEN image = 1 THEN '[{{"x0":300.0,"y0":100.0,"x1":380.0,"y1":180.0}}]' ELSE '[]' END AS boxes, NULL::VARCHAR AS error FROM pt
             UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, 'ValueError' FROM f WHERE kind = 1""",
         "read_pages": f"WITH {_FILES} SELECT path, page_index, method, sha256(text) AS sha, ocr_confidence, ocr_word_count, raw::INTEGER AS raw_tokens_est, CASE WHEN error IS NULL THEN distilled END::INTEGER AS distilled_tokens_est, warnings, image_count::INTEGER AS image_count, figures, error FROM rt",

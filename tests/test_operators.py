@@ -386,6 +386,74 @@ def test_shared_folder(spark):
     assert runtime.is_folder(spark, where) and not runtime.is_folder(spark, where + "x") and where.startswith(runtime.shared_folder(spark))
 
 
+def test_index_in_versions(spark, tmp_path):
+    from ctxlake.operators import flows
+
+    tree = lambda *rows: spark.createDataFrame([(p, t.encode()) for p, t in rows], "path string, content binary")
+    root = str(tmp_path / "store")
+    embed = Backends(embed=lambda ts, kind: [[float("pump" in t), float("valve" in t)] for t in ts])
+    assert flows.current(spark, root) is None
+    v = flows.index_tree(tree(("a.md", "the pump runs"), ("b.md", "the valve leaks"), ("c.md", "nothing of note")), root, embed, "m")
+    assert v.number == 1 and v.chunks.count() == 3 and v.vectors.where("error IS NULL").count() == 3
+    ids = {r.source_path: r.chunk_id for r in v.chunks.collect()}
+    v = flows.index_tree(tree(("b.md", "the valve is new"), ("a.md", "")), root)
+    assert v.number == 2 and {(r.source_path, r.text) for r in v.chunks.collect()} == {("b.md", "the valve is new"), ("c.md", "nothing of note")}
+    assert {r.chunk_id for r in v.vectors.collect()} == {ids["c.md"]}
+    v = flows.index_tree(tree(("d.md", "a pump and a valve")), root, embed, "m")
+    assert v.vectors.where("error IS NULL").count() == v.chunks.count() == 3
+    (tmp_path / "store" / "v9").mkdir()
+    assert flows.current(spark, root).number == 3
+    q = spark.createDataFrame([(1, "valve")], "q long, question string")
+    assert [r.source_path for r in flows.ask(v, q, 2).orderBy("rank").collect()] == ["b.md", "d.md"]
+    assert [(r.source_path, r.score) for r in flows.ask(v, q, 1, embed, "m").collect()] == [("b.md", 1.0)]
+    broken = flows.index_tree(tree(("d.md", "again")), root, Backends(embed=lambda ts, kind: 1 / 0), "m")
+    assert broken.chunks.count() == 3 and broken.vectors.where("error LIKE 'ZeroDivisionError%'").count() == 1
+
+
+def test_tree_holds_every_file(spark, tmp_path):
+    from ctxlake.sources import files
+
+    want = {"a.py": b"1", "pkg/__init__.py": b"2", ".env": b"3", ".git/objects/ab": b"4", "x [1]/_y/z.txt": b"", "x [1]/a+b %20.txt": b"", "é/full+.txt": b"6", "none.txt": b"", "deep/er/.keep": b"5"}
+    for k, v in want.items():
+        (tmp_path / k).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / k).write_bytes(v)
+    got = files.tree(spark, str(tmp_path)).collect()
+    assert {r.path: bytes(r.content) for r in got} == want and len(got) == len(want)
+    assert files.ignore_file(spark, str(tmp_path)) is None
+    (tmp_path / ".gitignore").write_text("é\n*.x\n")
+    assert files.ignore_rules(files.ignore_file(spark, str(tmp_path)), ("a",)) == ("a", "é", "*.x")
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    import io
+
+    from ctxlake.__main__ import run
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.md").write_text("the pump runs, see topic")
+    (tmp_path / "t" / "x.log").write_text("no")
+    (tmp_path / "t" / ".gitignore").write_text("*.log\n.gitignore\n")
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "topic.md").write_text("")
+    (tmp_path / "m" / "lost.md").write_text("")
+
+    def call(*argv):
+        out = io.StringIO()
+        code = run(list(map(str, argv)), out, spark)
+        return code, [json.loads(x) if x.startswith("{") else x for x in out.getvalue().splitlines() if x]
+
+    assert call("pack", tmp_path / "t", "--out", tmp_path / "doc")[1] == [{"route": "text", "files": 1, "tokens": 6}]
+    assert call("index", tmp_path / "t", tmp_path / "s")[1] == [{"files": 3, "chunks": 3}]
+    code, rows = call("query", tmp_path / "s", "pump", "--top", 1)
+    assert code == 0 and [r["source_path"] for r in rows] == ["a.md"]
+    assert call("query", tmp_path / "none", "pump")[0] == 1
+    assert [r["finding"] for r in call("audit", tmp_path / "t", "--memory", tmp_path / "m")[1] if r["kind"] == "orphan"] == ["lost.md"]
+    spark.createDataFrame([("s", 1, "edit")], "session_id string, seq long, bucket string").write.parquet(str(tmp_path / "log"))
+    assert call("mode", tmp_path / "log", "--session", "s")[1] == [{"session_id": "s", "n": 1, "mode": "code"}]
+    monkeypatch.setattr("sys.stdin", io.StringIO("same\n" * 50))
+    assert call("compress")[1] == ["same", "    (same line, 49 times more)"]
+
+
 def test_latest_and_replace(spark):
     df = spark.createDataFrame([("k", 1, "old"), ("k", 3, "new"), ("m", 2, None)], "k string, id long, v string")
     assert {tuple(r) for r in store.latest(df, "k", "id").collect()} == {("k", 3, "new"), ("m", 2, None)}
