@@ -32,7 +32,7 @@ from ctxlake.runtime import checkpointed, sample_by_hash, shuffle_partitions
 
 
 #: Vectors of a list, beyond twice which a unit cuts it up, and vectors on which that is fitted.
-LOCAL_SIZE, LOCAL_SAMPLE = 512, 4096
+LOCAL_SIZE, LOCAL_SAMPLE = 2048, 4096
 #: A vector without null or non-finite numbers and with one that is not 0.
 USABLE = "forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <> double('Infinity')) AND exists(vec, x -> x <> 0)"
 
@@ -87,28 +87,36 @@ def block_bounds(d: int, step: int) -> list[tuple[int, int]]:
     return [(i, min(i + step, d)) for i in range(0, d, step)]
 
 
-def scan(q: np.ndarray, base: np.ndarray, bound: np.ndarray, k: int, eps: float | None, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def head_block(base: np.ndarray, step: int) -> np.ndarray:
+    """The first column block with half of its squared norm, negative, beside it: one product with (q, 1) then gives q . b - |b|^2 / 2."""
+    x = base[:, : min(step, base.shape[1])]
+    return np.concatenate([x, (x**2).sum(1, keepdims=True) / -2], 1)
+
+
+def scan(q: np.ndarray, base: np.ndarray, bound: np.ndarray, k: int, eps: float | None, step: int, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (query, base, cosine) of up to k nearest of each query with squared distance of at most ``bound``.
-    All queries of a probe pass over a column block together, as one product of matrices; then the test abandons pairs. Without ``eps`` only what certainly lies beyond the bound is abandoned."""
+    All queries of a probe pass over the first column block together, as one product of matrices and one comparison; then the test abandons pairs block by
+    block. Without ``eps`` only what certainly lies beyond the bound is abandoned. ``head``: head_block(base, step), where it is at hand."""
     d = q.shape[1]
     blocks = block_bounds(d, step)
 
     def reach(hi: int) -> float:
         return d / hi if eps is None else (1 + eps / np.sqrt(hi)) ** 2
 
-    lo, hi = blocks[0]
-    part = ((q[:, lo:hi] ** 2).sum(1)[:, None] + (base[:, lo:hi] ** 2).sum(1)[None, :]) - 2 * (q[:, lo:hi] @ base[:, lo:hi].T)
-    qi, bi = np.nonzero(part * (d / hi) <= bound[:, None] * reach(hi) + 1e-5)
-    dist = part[qi, bi]
+    hi = blocks[0][1]
+    own = (q[:, :hi] ** 2).sum(1)
+    s = np.concatenate([q[:, :hi], np.ones((len(q), 1), q.dtype)], 1) @ (head_block(base, step) if head is None else head).T
+    at = np.flatnonzero(s >= ((own - (bound * (reach(hi) if hi < d else 1.0) + 1e-5) * (hi / d)) / 2)[:, None])
+    qi, bi = np.divmod(at, len(base))
+    if len(at) * 4 > s.size:  # few were abandoned: the dense product is cheaper than gathering
+        at = np.flatnonzero(2 - 2 * (q @ base.T) <= bound[:, None] + 1e-5)
+        qi, bi = np.divmod(at, len(base))
+        blocks = blocks[:1]
+    dist = own[qi] - 2 * s.ravel()[at]
     for lo, hi in blocks[1:]:
         if not len(qi):
             break
-        if len(qi) * 4 > q.shape[0] * base.shape[0]:  # few were abandoned: the dense product is cheaper than gathering
-            part += ((q[:, lo:hi] ** 2).sum(1)[:, None] + (base[:, lo:hi] ** 2).sum(1)[None, :]) - 2 * (q[:, lo:hi] @ base[:, lo:hi].T)
-            dist = part[qi, bi]
-        else:
-            dist = dist + ((q[qi, lo:hi] - base[bi, lo:hi]) ** 2).sum(1)
-            part[qi, bi] = dist
+        dist = dist + ((q[qi, lo:hi] - base[bi, lo:hi]) ** 2).sum(1)
         keep = dist * (d / hi) <= bound[qi] * (reach(hi) if hi < d else 1.0) + 1e-5
         qi, bi, dist = qi[keep], bi[keep], dist[keep]
     return qi, bi, 1 - np.einsum("ij,ij->i", q[qi] - base[bi], q[qi] - base[bi]) / 2 if len(qi) else np.zeros(0, np.float32)
@@ -212,10 +220,11 @@ def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: in
 
     def answer(ids, q, c, lists, members, heads):
         may, angle, found = _may_hold(q @ c.T, c, lists, min_cosine), np.arccos(np.clip(q @ heads.T, -1, 1)), []
-        for m, (j, base_ids, base, lo, hi) in enumerate(members):
+        for m, (j, base_ids, base, block, lo, hi) in enumerate(members):
             rows = np.flatnonzero(may[:, j] & (angle[:, m] <= hi + alpha + 1e-3) & (angle[:, m] >= lo - alpha - 1e-3))
+            x = q if len(rows) == len(q) else q[rows]
             for i in range(0, len(base) if len(rows) else 0, 4096):
-                qi, bi, cos = scan(q[rows], base[i : i + 4096], np.full(len(rows), most, np.float32), k, None, step)
+                qi, bi, cos = scan(x, base[i : i + 4096], np.full(len(rows), most, np.float32), k, None, step, block[i : i + 4096])
                 keep = (ids[rows[qi]] != base_ids[i + bi]) & (cos >= min_cosine)
                 found.append((rows[qi[keep]], base_ids[i + bi[keep]], cos[keep]))
         qi, o, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -237,7 +246,7 @@ def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: in
             for g in np.unique(side):
                 rows = r[side == g]
                 angle = np.arccos(np.clip(x[rows] @ local[g], -1, 1))
-                members.append((at, ids[rows], x[rows], angle.min(), angle.max()))
+                members.append((at, ids[rows], x[rows], head_block(x[rows], step), angle.min(), angle.max()))
                 heads.append(local[g])
         return lists, members, np.array(heads)
 
