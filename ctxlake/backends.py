@@ -13,7 +13,7 @@ OcrResult = tuple[str, float, int]
 class Backends:
     #: image bytes -> text, mean confidence, number of words
     ocr: Callable[[bytes], OcrResult] | None = None
-    #: the same after sharpening, asked for when the first pass is weak
+    #: the same for a second pass, asked for when the first is weak; without it the first service gets the image in black and white
     ocr_retry: Callable[[bytes], OcrResult] | None = None
     #: file bytes, page index, dpi -> image bytes
     rasterise: Callable[[bytes, int, int], bytes] | None = None

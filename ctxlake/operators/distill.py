@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ctxlake.backends import Backends
 from ctxlake.config import DEFAULT, EngineConfig
+from ctxlake.functions.images import prepared
 from ctxlake.operators import boilerplate, pages, store
-from ctxlake.sources import pdf
+from ctxlake.sources import images, pdf
 
 PAGE_PROMPT = "Transcribe all text of this page."
 FIGURE_PROMPT = "Describe this figure and transcribe its text."
@@ -45,9 +46,9 @@ def crop_box(box: tuple[float, float, float, float], page_height: float, size: t
 def recognise(image: bytes, b: Backends, cfg: EngineConfig, vision: bool, prompt: str) -> tuple[str, str, float, int, list[str]]:
     """method, text, confidence, words, warnings."""
     text, conf, words = b.ocr(image) if b.ocr else ("", 0.0, 0)
-    if b.ocr_retry and not (conf >= cfg.retry_confidence and words >= cfg.retry_min_words):
-        try:
-            again = b.ocr_retry(image)
+    if (b.ocr_retry or b.ocr) and not (conf >= cfg.retry_confidence and words >= cfg.retry_min_words):
+        try:  # without a second service, the first gets the prepared image
+            again = b.ocr_retry(image) if b.ocr_retry else b.ocr(images.png(prepared(images.load(image))))
             if (again[2], again[1]) > (words, conf):
                 text, conf, words = again
         except Exception:  # the first pass stands
@@ -78,7 +79,10 @@ def _one(path: str, data: bytes, b: Backends, cfg: EngineConfig, vision: bool, f
 
 def _image(image: bytes, b: Backends, cfg: EngineConfig, vision: bool) -> dict:
     method, text, conf, words, notes = recognise(image, b, cfg, vision, PAGE_PROMPT)
-    w, h = b.measure(image) if b.measure else (0, 0)
+    try:
+        w, h = b.measure(image) if b.measure else images.size(image)
+    except Exception:
+        w, h = 0, 0
     return {"method": method, "text": text, "ocr_confidence": conf, "ocr_word_count": words, "raw_tokens_est": image_cost(w, h, cfg), "distilled_tokens_est": text_cost(text), "warnings": notes, "image_count": 0, "figures": []}
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ctxlake.functions import images as I
 from ctxlake.functions import text as T
 from ctxlake.functions import tokens as K
 from ctxlake.operators import activity, audit, boilerplate, chunking, compress, distill, flows, pack, pages, retrieval, sessions, store
 from ctxlake.plans import fixtures
 from ctxlake.plans.core_sql import oracle_sql
-from ctxlake.sources import files, pdf
+from ctxlake.sources import files, images, pdf
 from ctxlake.runtime import checkpointed, hadoop_path, new_folder, spread, table
 from ctxlake.streaming import activity as streams
 from ctxlake.streaming.run import drain, parquet_stream
@@ -245,6 +246,8 @@ def queries() -> dict:
         "savings_report": lambda s, d: pages.savings(_runs(s, d)),
         "savings_since": lambda s, d: pages.savings(_runs(s, d), "2009-03-04"),
         "pdf_pages": lambda s, d: pdf.pages(fixtures.files(s, d).where("path LIKE '%.pdf'")).select("path", "page_index", F.sha2("text", 256).alias("sha"), "width", "height", F.to_json("boxes").alias("boxes"), F.substring_index("error", ":", 1).alias("error")),
+        "loaded_images": lambda s, d: images.images(fixtures.pixmaps(s, d)).select("path", "width", "height", F.sha2("rgb", 256).alias("sha"), F.substring_index("error", ":", 1).alias("error")),
+        "prepared_images": lambda s, d: I.prepare(images.images(fixtures.pixmaps(s, d)).where("error IS NULL"), "path").select("path", "width", "height", F.sha2("pixels", 256).alias("sha")),
         "read_pages": lambda s, d: _page_rows(distill.read_pages(fixtures.files(s, d), fixtures.STAND_INS)),
         "distill_cached": lambda s, d: _distill(s, d).select("path", "page_index", "cached", F.sha2("text", 256).alias("sha"), "distilled_tokens_est"),
         "scan_totals": lambda s, d: distill.scan_totals(_distill(s, d)),

@@ -185,6 +185,8 @@ def oracle_sql() -> dict[str, str]:
         "file_results": f"WITH {_FILES} SELECT path, bool_and(cached) AS cached, CASE WHEN max(error) IS NULL THEN count(*) END AS page_count, CASE WHEN max(error) IS NULL THEN count(*) FILTER (figures <> '') END AS figures, max(error) AS error FROM rt GROUP BY path",
         "pdf_pages": f"""WITH {_FILES} SELECT path, page_index, sha256(text) AS sha, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, CASE WHEN image = 1 THEN '[{{"x0":300.0,"y0":100.0,"x1":380.0,"y1":180.0}}]' ELSE '[]' END AS boxes, NULL::VARCHAR AS error FROM pt
             UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, 'ValueError' FROM f WHERE kind = 1""",
+        "loaded_images": "SELECT '/im/' || p_partkey || '.ppm' AS path, CASE WHEN p_partkey % 9 > 0 THEN 2 * (p_size % 6 + 1) END::INTEGER AS width, CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 5 + 1 END::INTEGER AS height, CASE WHEN p_partkey % 9 > 0 THEN sha256(repeat(repeat('!', 3 * (p_size % 6 + 1)::BIGINT) || repeat('z', 3 * (p_size % 6 + 1)::BIGINT), (p_partkey % 5 + 1)::BIGINT)) END AS sha, CASE WHEN p_partkey % 9 = 0 THEN 'ValueError' END AS error FROM part",
+        "prepared_images": "SELECT '/im/' || p_partkey || '.ppm' AS path, (4 * (p_size % 6 + 1))::INTEGER AS width, (2 * (p_partkey % 5 + 1))::INTEGER AS height, sha256(unhex(repeat(repeat('00', 2 * (p_size % 6 + 1)::BIGINT) || repeat('FF', 2 * (p_size % 6 + 1)::BIGINT), 2 * (p_partkey % 5 + 1)::BIGINT))) AS sha FROM part WHERE p_partkey % 9 > 0",
         "read_pages": f"WITH {_FILES} SELECT path, page_index, method, sha256(text) AS sha, ocr_confidence, ocr_word_count, raw::INTEGER AS raw_tokens_est, CASE WHEN error IS NULL THEN distilled END::INTEGER AS distilled_tokens_est, warnings, image_count::INTEGER AS image_count, figures, error FROM rt",
         "distill_cached": f"WITH {_FILES} SELECT path, page_index, cached, sha256(text) AS sha, CASE WHEN error IS NULL THEN distilled ELSE 0 END::INTEGER AS distilled_tokens_est FROM rt",
         "scan_totals": f"WITH {_FILES} SELECT count(DISTINCT h) FILTER (error IS NULL) AS ok, count(DISTINCT h) FILTER (error IS NOT NULL) AS failed, sum(raw)::BIGINT AS raw_tokens, sum(CASE WHEN error IS NULL THEN distilled ELSE 0 END)::BIGINT AS distilled_tokens FROM rt",

@@ -47,6 +47,15 @@ def files(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("content_hash"), path.alias("path"), F.encode(content, "UTF-8").alias("content"))
 
 
+def pixmaps(s: SparkSession, d: str) -> DataFrame:
+    """path, content: a small image for each part, the left half dark and the right half light; every ninth one is cut off."""
+    p = table(s, d, "part")
+    w, h = F.col("p_size") % 6 + 1, (F.col("p_partkey") % 5 + 1).cast("int")
+    row = F.concat(F.repeat(F.lit("!"), 3 * w), F.repeat(F.lit("z"), 3 * w))
+    image = F.concat(F.lit("P6\n"), (2 * w).cast("string"), F.lit(" "), h.cast("string"), F.lit("\n255\n"), F.when(F.col("p_partkey") % 9 > 0, F.repeat(row, h)).otherwise(""))
+    return p.select(F.concat(F.lit("/im/"), F.col("p_partkey").cast("string"), F.lit(".ppm")).alias("path"), F.encode(image, "UTF-8").alias("content"))
+
+
 def _ocr(image: bytes) -> tuple[str, float, int]:
     """Weak on whole pages, good on figures and images."""
     return (image.decode(), 40.0, 2) if image.startswith(b"page") else (image.decode()[:40].strip(), 95.0, 9)

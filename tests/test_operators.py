@@ -337,6 +337,53 @@ def test_image_is_prepared(spark):
     assert got[1].pixels == out.tobytes() and got[2].error and got[3].error and got[2].pixels is None
 
 
+def test_image_files(spark):
+    import struct
+    import zlib
+
+    from ctxlake.sources import images
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (7, 5, 3), np.uint8)
+    assert (images.load(images.png(x)) == x).all() and images.size(images.png(x)) == (5, 7)
+    g = x[:, :, 0]
+    assert (images.load(images.png(g))[:, :, 1] == g).all()
+    assert (images.load(b"P6\n# c\n5 7 255\n" + x.tobytes()) == x).all() and (images.load(b"P5 5 7 255 " + g.tobytes())[:, :, 2] == g).all()
+    # Every row filter, made from the pixels by its definition.
+    rows, above = b"", [0] * 15
+    for y in range(7):
+        line, kind = x[y].ravel().tolist(), y % 5
+        left = lambda r, i: r[i - 3] if i >= 3 else 0
+
+        def guess(i, kind=kind, line=line, above=above):
+            a, b, c = left(line, i), above[i], left(above, i)
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            return (0, a, b, (a + b) // 2, near)[kind]
+
+        rows += bytes([kind]) + bytes((v - guess(i)) & 255 for i, v in enumerate(line))
+        above = line
+    part = lambda k, d: struct.pack(">I", len(d)) + k + d + b"crc0"
+    data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    assert (images.load(data) == x).all()
+    df = spark.createDataFrame([("a.png", data), ("b.png", b"\x89PNG\r\n\x1a\nxx"), ("c.jpg", b"?"), ("d.png", None)], "path string, content binary")
+    got = {r.path: r for r in images.images(df).collect()}
+    assert got["a.png"].rgb == x.tobytes() and all(got[k].error for k in ("b.png", "c.jpg", "d.png"))
+
+
+def test_weak_pass_is_repeated_with_the_prepared_image():
+    from ctxlake.sources import images
+
+    x = np.full((4, 4, 3), 90, np.uint8)
+    x[1:3] = 120
+    seen = []
+
+    def ocr(image):
+        seen.append(np.unique(images.load(image)).tolist())
+        return ("read", 95.0, 9) if seen[-1] == [0, 255] else ("", 0.0, 0)
+
+    assert distill.recognise(images.png(x), Backends(ocr=ocr), distill.DEFAULT, True, "")[:4] == ("ocr", "read", 95.0, 9) and seen == [[90, 120], [0, 255]]
+
+
 def test_crop_box_equals_expression(spark):
     rng = random.Random(4)
     boxes = [tuple(rng.uniform(-80, 700) for _ in range(4)) for _ in range(300)]
