@@ -195,30 +195,48 @@ def _may_hold(sim: np.ndarray, c: np.ndarray, lists: np.ndarray, min_cosine: flo
     return sim[np.arange(len(sim)), own][:, None] - sim[:, lists] <= np.sqrt(1 - min_cosine**2) * apart + 1e-5
 
 
-def _route(centroids: dict[str, np.ndarray], groups: dict[str, list[np.ndarray]], min_cosine: float):
+def _route(centroids: dict[str, np.ndarray], groups: dict[str, list[np.ndarray]], min_cosine: float, half: bool):
+    """Adds groups: those a query goes to; with ``half`` none before its own, as the rest meet it as queries of theirs. The last column is the list of the
+    query itself, which its own group takes the place of."""
+    of_list = {m: np.zeros(len(c), np.int32) for m, c in centroids.items()}
+    for m, gs in groups.items():
+        for g, lists in enumerate(gs):
+            of_list[m][lists] = g
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             model, raw = np.asarray(b.column(0).to_pylist(), object), b.column(1).to_pylist()
             to: list = [None] * b.num_rows
+            own = np.asarray(b.column(3)).copy()
             for m in set(model):
                 rows, c = np.flatnonzero(model == m), centroids[m]
+                own[rows] = of_list[m][own[rows]]
                 for i in range(0, len(rows), 1024):
                     part = rows[i : i + 1024]
                     x = np.frombuffer(b"".join(raw[r] for r in part), np.float32).reshape(len(part), -1)
                     sim = x @ c.T
                     asked = np.stack([_may_hold(sim, c, lists, min_cosine).any(1) for lists in groups[m]], 1)
+                    if half:
+                        asked &= np.arange(len(groups[m])) >= own[part][:, None]
                     for r, a in zip(part, asked):
                         to[r] = np.flatnonzero(a).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.int32()))], names=[*b.schema.names, "groups"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.int32()), pa.array(to, pa.list_(pa.int32()))], names=[*b.schema.names[:3], "own", "groups"])
 
     return run
 
 
 def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: int):
-    """Like _nearest, for units of several lists, each compared with all queries whose neighbours it can hold."""
+    """Like _nearest, for units of several lists, each compared with all queries whose neighbours it can hold (role 1). What queries of other groups (role 2)
+    find counts for both sides, as the vectors of a unit are no queries of their groups then."""
     most, alpha = np.float32(2 - 2 * min_cosine), np.arccos(max(-1.0, min_cosine))
 
-    def answer(ids, q, c, lists, members, heads):
+    def best(q, o, cos):
+        order = np.lexsort((o, -cos, q))
+        q, o, cos = q[order], o[order], cos[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[top], o[top], cos[top].astype(np.float64)
+
+    def answer(ids, q, both, c, lists, members, heads):
         may, angle, found = _may_hold(q @ c.T, c, lists, min_cosine), np.arccos(np.clip(q @ heads.T, -1, 1)), []
         for m, (j, base_ids, base, block, lo, hi) in enumerate(members):
             rows = np.flatnonzero(may[:, j] & (angle[:, m] <= hi + alpha + 1e-3) & (angle[:, m] >= lo - alpha - 1e-3))
@@ -228,10 +246,8 @@ def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: in
                 keep = (ids[rows[qi]] != base_ids[i + bi]) & (cos >= min_cosine)
                 found.append((rows[qi[keep]], base_ids[i + bi[keep]], cos[keep]))
         qi, o, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        order = np.lexsort((o, -cos, qi))
-        qi, o, cos = qi[order], o[order], cos[order]
-        top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-        return ids[qi[top]], o[top], cos[top].astype(np.float64)
+        out = best(ids[qi], o, cos)
+        return [np.concatenate(x) for x in zip(out, best(o, ids[qi], cos))] if both else out
 
     def by_list(c, base):
         """The lists of a unit, a long one cut into lists of its own around centroids fitted here on at most LOCAL_SAMPLE of its vectors, each with the angles of
@@ -268,15 +284,15 @@ def _every(k: int, min_cosine: float, centroids: dict[str, np.ndarray], step: in
                     if held is None:
                         held, base = by_list(centroids[key[0]], base), []
                     for i in range(0, hi - lo, 2048):
-                        got = answer(ids[lo + i : min(hi, lo + i + 2048)], x[i : i + 2048], centroids[key[0]], *held)
+                        got = answer(ids[lo + i : min(hi, lo + i + 2048)], x[i : i + 2048], unit[lo][4] == 2, centroids[key[0]], *held)
                         if len(got[0]):
                             yield pa.RecordBatch.from_arrays([pa.array(a) for a in got], names=["q", "o", "cosine"])
 
     return run
 
 
-def _all_near(placed: DataFrame, centroids: dict[str, np.ndarray], k: int, min_cosine: float, block: int, step: int) -> DataFrame:
-    """q, o, cosine: nothing left out. Neighbouring lists form groups, about six a model, of ``block`` to 64 times as many
+def _all_near(placed: DataFrame, centroids: dict[str, np.ndarray], k: int, min_cosine: float, block: int, step: int, half: bool) -> DataFrame:
+    """q, o, cosine: nothing left out. With ``half`` (every vector asks) two groups meet once, not twice. Neighbouring lists form groups, about six a model, of ``block`` to 64 times as many
     vectors; a unit is a group (a block of it, where one list exceeds that) and a slice of the queries, so vectors move seldom."""
     counts: dict[str, np.ndarray] = {m: np.zeros(len(c), np.int64) for m, c in centroids.items()}
     for r in placed.groupBy("model", F.col("near")[0].alias("list")).count().collect():
@@ -303,9 +319,9 @@ def _all_near(placed: DataFrame, centroids: dict[str, np.ndarray], k: int, min_c
     lists = F.broadcast(spark.createDataFrame(of_list, "model string, list int, group int, blocks int"))
     base = placed.select("model", F.col("near")[0].alias("list"), "id", "v").join(lists, ["model", "list"])
     base = base.select("model", "group", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("role"), "list", "id", "v")
-    asked = placed.where("asks = 1").select("model", "v", "id").mapInArrow(_route(centroids, groups, min_cosine), "model string, v binary, id long, groups array<int>")
-    asked = asked.select("model", F.explode("groups").alias("group"), "id", "v").join(F.broadcast(spark.createDataFrame(of_group, "model string, group int, blocks int")), ["model", "group"])
-    asked = asked.select("model", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_of.alias("slice"), F.lit(1).alias("role"), F.lit(0).alias("list"), "id", "v")
+    asked = placed.where("asks = 1").select("model", "v", "id", F.col("near")[0].alias("own")).mapInArrow(_route(centroids, groups, min_cosine, half), "model string, v binary, id long, own int, groups array<int>")
+    asked = asked.select("model", F.explode("groups").alias("group"), "id", "v", "own").join(F.broadcast(spark.createDataFrame(of_group, "model string, group int, blocks int")), ["model", "group"])
+    asked = asked.select("model", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_of.alias("slice"), F.when(F.lit(half) & (F.col("own") != F.col("group")), 2).otherwise(1).alias("role"), F.lit(0).alias("list"), "id", "v")
     work = base.unionByName(asked).repartition(parts, "model", "group", "block", "slice").sortWithinPartitions("model", "group", "block", "slice", "role")
     return work.mapInArrow(_every(k, min_cosine, centroids, step), "q long, o long, cosine double")
 
@@ -341,7 +357,7 @@ def neighbours(
     lists = max(map(len, centroids.values()), default=1)
     looks = 1 if probes is None else max(1, round(probes * lists)) if probes < 1 else int(probes)
     placed = checkpointed(reps.select("model", "v", "id", "n", "asks").mapInArrow(_probe(centroids, looks), "model string, v binary, id long, n long, asks int, near array<int>"))
-    near = _all_near(placed, centroids, k, min_cosine, block, step) if probes is None else _probed(placed, centroids, k, min_cosine, block, eps, step)
+    near = _all_near(placed, centroids, k, min_cosine, block, step, query_every == 1) if probes is None else _probed(placed, centroids, k, min_cosine, block, eps, step)
     near = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "o"))), 1, k).alias("c")).select("q", F.explode("c").alias("c")).select("q", "c.o", (-F.col("c.d")).alias("cosine"))
     return _with_copies(vecs, placed.select("model", "v", F.col("id").alias("rep"), "n"), near, k, query_every)
 
