@@ -70,6 +70,8 @@ WORD = re.compile(r"[^\W_]+")
 #: Signs that stray into words, and the letters that digits and @ are taken for (fixed values).
 INSIDE = re.compile(r"[~'|.`](?<=[^\W_].)(?=[^\W_])")
 SHAPES_OF_DIGITS, SHAPES_OF_SIGNS = str.maketrans("01345678", "oleasbtb") | {ord("9"): "g"}, str.maketrans("@", "a")
+#: A word with a sign among its letters that no spelling has there.
+SIGN_INSIDE = re.compile(r"[^\W\d_]+[@~|`][^\W\d_]+")
 #: A word with one digit among its letters: no identifier of running text looks so, a misread name does.
 DIGIT_INSIDE = re.compile(r"(?=.{4})(?:[^\W\d_]+\d[^\W\d_]*|\d[^\W\d_]{3,})")
 NAME = re.compile(r"(?<![^\W_])[^\W\d_a-z][^\W\d_]+(?![^\W_])")
@@ -451,6 +453,9 @@ class Reader:
                                 least, best = g + h, r
                             elif odd and not spelt and self.plausible(r):
                                 spelt = r
+        if not best and not spelt and self.trigrams and len(w) > 3 and SIGN_INSIDE.fullmatch(w):
+            r = INSIDE.sub("", w.translate(SHAPES_OF_SIGNS))
+            spelt = r if self.plausible(r) else ""
         return best or spelt or (first if DIGIT_INSIDE.fullmatch(w) else "")
 
     def plausible(self, w: str) -> bool:

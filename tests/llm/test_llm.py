@@ -428,6 +428,14 @@ def test_marks_at_line_ends():
     assert [w for _, _, w in found] == ["ri ver", "ver"] or {w for _, _, w in found} == {"ri ver", "ver"}
 
 
+def test_signs_inside_names():
+    grams = frozenset(f"^{w}$"[i : i + 3] for w in ["wextam", "sansan", "torin"] for i in range(len(w)))
+    reader = ocr.Reader({"the": 9}, ocr.Editor(["", "-"], np.zeros((ocr.ROWS, 2)), {}), grams)
+    words = {"^wext@m": "wextam", "san~san": "sansan", "tor|in": "torin", "x@y": "", "qq@zz": "", "wextam": "", "wex@tam@x": ""}
+    reader.correct(set(words))
+    assert {w: reader.memo[w] for w in words} == words
+
+
 def test_running_lines_of_two_rows_and_any_form(spark):
     rng = random.Random(5)
     head = lambda i: f"Annual survey of the northern harbour\nPrepared for the council, second edition.\n\n{_clean(rng)}\n\nSurvey\n\n| {i} |"
