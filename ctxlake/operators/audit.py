@@ -74,20 +74,31 @@ def _stem_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.int64(1), bit & 63))], names=["word", "mask"])
 
 
-def _mentions(lengths: list[int], words: np.ndarray):
-    """other, stem: the substrings of each text that may be a stem."""
+def _mentions(lengths: list[int], words: np.ndarray, slab: int = 1 << 20):
+    """other, stem: the substrings of each text that may be a stem. Texts go one after another in slabs of about a million characters; what reaches over the end of a
+    text is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows()
         for b in batches:
-            for other, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums, found = w.sums(text), set()
+            others, texts, lo = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            while lo < len(texts):
+                hi, size = lo + 1, len(texts[lo])
+                while hi < len(texts) and size + len(texts[hi]) <= slab:
+                    size += len(texts[hi])
+                    hi += 1
+                whole, ends = "".join(texts[lo:hi]), np.cumsum([len(t) for t in texts[lo:hi]])
+                sums, found = w.sums(whole), set()
                 for n in lengths:
-                    if n <= len(text):
+                    if n <= len(whole):
                         bit = w.bits(sums, n)
-                        for i in np.flatnonzero((words[bit >> 6] >> (bit & 63)) & 1).tolist():
-                            found.add(text[i : i + n])
-                yield pa.RecordBatch.from_arrays([pa.array([other] * len(found), pa.string()), pa.array(sorted(found), pa.string())], names=["other", "stem"])
+                        at = np.flatnonzero((words[bit >> 6] >> (bit & 63)) & 1)
+                        of = np.searchsorted(ends, at, "right")
+                        inside = at + n <= ends[of]
+                        found.update((others[lo + t], whole[i : i + n]) for i, t in zip(at[inside].tolist(), of[inside].tolist()))
+                rows = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["other", "stem"])
+                lo = hi
 
     return run
 

@@ -38,15 +38,20 @@ def counted(terms: Column) -> Column:
     return F.when(n > 0, let(F.sort_array(terms), runs)).otherwise(F.array().cast("array<struct<term:string,f:bigint>>"))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return spread(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))
+
+
 def by_document(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """doc, dl, terms: one pass over the texts, no shuffle."""
-    d = spread(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))).select("doc", index_terms("t").alias("t"))
-    return d.select("doc", F.size("t").alias("dl"), counted(F.col("t")).alias("terms"))
+    return _texts(docs, id_col, text_col).select("doc", index_terms("t").alias("t")).select("doc", F.size("t").alias("dl"), counted(F.col("t")).alias("terms"))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """doc, dl, term, f."""
-    return by_document(docs, id_col, text_col).select("doc", "dl", F.explode("terms").alias("t")).select("doc", "dl", "t.term", "t.f")
+    """doc, dl, term, f. All of a document's come out of one expression, and an outer explosion infers no filter, either of which would compute its terms again."""
+    of = let(index_terms("t"), lambda t: F.transform(counted(t), lambda x: F.struct(F.size(t).alias("dl"), x["term"].alias("term"), x["f"].alias("f"))))
+    p = _texts(docs, id_col, text_col).select("doc", F.explode_outer(of).alias("p"))
+    return p.select("doc", "p.dl", "p.term", "p.f").where("term IS NOT NULL")
 
 
 def term_stats(posts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def build(docs: DataFrame, id_col: str, path: str, text_col: str = "text") -> In
     by_document(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/documents")
     d = spark.read.parquet(f"{path}/documents")
     d.select("doc", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
-    p = d.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "dl", "t.f")
+    p = d.select("doc", "dl", F.explode_outer("terms").alias("t")).select("t.term", "doc", "dl", "t.f").where("term IS NOT NULL")
     p.repartitionByRange(shuffle_partitions(d), "term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
     d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
     term_stats(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals")).write.mode("overwrite").parquet(f"{path}/terms")

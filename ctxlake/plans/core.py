@@ -209,7 +209,7 @@ def _distill(s: SparkSession, d: str) -> DataFrame:
     read = distill.read_pages(f.where("ascii(substring(content_hash, 1, 1)) % 2 = 0"), fixtures.STAND_INS).where("error IS NULL")
     wrong = F.ascii(F.substring("content_hash", 2, 1)) % 2 == 0
     cache = checkpointed(read.withColumn("options", F.when(wrong, "vision=True,figures=False").otherwise("vision=True,figures=True")))
-    return distill.distill(f, cache, fixtures.STAND_INS)
+    return checkpointed(distill.distill(f, cache, fixtures.STAND_INS))  # read once for all that is made of it
 
 
 def _indexed_tree(s: SparkSession, d: str) -> DataFrame:
