@@ -1,5 +1,6 @@
 """Pages of PDF files: text layer, size, boxes of embedded images. The default reader is plain Python and covers uncompressed and deflated
-content streams with simple fonts; pdfplumber is used instead where it is installed."""
+content, compressed objects, simple fonts in the usual Western encoding and all fonts with a table of their characters (ToUnicode); pdfplumber is used instead
+where it is installed."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)endobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _REFS = re.compile(rb"(\d+)\s+\d+\s+R")
 _TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+")
+#: Thousandths of the letter size that part two words within one array of strings.
+GAP = 180
 _ESCAPES = {b"n": "\n", b"r": "\r", b"t": "\t", b"b": "\b", b"f": "\f"}
 
 
@@ -30,24 +33,57 @@ class Page:
     boxes: list[tuple[float, float, float, float]] = field(default_factory=list)
 
 
-def _string(raw: bytes) -> str:
+def _bytes(raw: bytes) -> bytes:
     if raw[:1] == b"<":
-        return bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode()).decode("latin-1")
+        digits = re.sub(rb"\s", b"", raw[1:-1]).decode()
+        return bytes.fromhex(digits + "0" * (len(digits) % 2))
 
     def one(m: re.Match) -> bytes:
         x = m[1]
-        return bytes([int(x, 8) & 255]) if x[:1].isdigit() else _ESCAPES.get(x, x.decode("latin-1")).encode("latin-1")
+        return bytes([int(x, 8) & 255]) if x[:1].isdigit() else b"" if x in (b"\n", b"\r") else _ESCAPES.get(x, x.decode("latin-1")).encode("latin-1")
 
-    return re.sub(rb"\\([0-7]{1,3}|.)", one, raw[1:-1], flags=re.S).decode("latin-1")
+    return re.sub(rb"\\([0-7]{1,3}|.)", one, raw[1:-1], flags=re.S)
+
+
+class Font:
+    """The characters of a font's codes; without a table, codes are bytes of the usual Western encoding."""
+
+    def __init__(self, table: bytes = b""):
+        hexes = lambda x: [bytes.fromhex(re.sub(rb"\s", b"", h).decode()) for h in re.findall(rb"<([0-9A-Fa-f\s]*)>", x)]
+        text = lambda x: x.decode("utf-16-be", "replace")
+        space = re.search(rb"begincodespacerange(.*?)endcodespacerange", table, re.S)
+        codes = hexes(space[1]) if space else []
+        self.width, self.chars = (len(codes[0]) if codes else 1) or 1, {}
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", table, re.S):
+            pairs = hexes(part)
+            self.chars.update((int.from_bytes(c, "big"), text(t)) for c, t in zip(pairs[::2], pairs[1::2]))
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", table, re.S):
+            for m in re.finditer(rb"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]+)>\s*(\[.*?\]|<[0-9A-Fa-f\s]*>)", part, re.S):
+                lo, hi = (int(re.sub(rb"\s", b"", x), 16) for x in (m[1], m[2]))
+                to = hexes(m[3])
+                for i in range(min(hi - lo + 1, 1 << 16)):
+                    if m[3][:1] == b"[":
+                        if i < len(to):
+                            self.chars[lo + i] = text(to[i])
+                    elif to and to[0]:
+                        self.chars[lo + i] = text(to[0][:-2] + ((int.from_bytes(to[0][-2:], "big") + i) & 0xFFFF).to_bytes(min(2, len(to[0])), "big"))
+
+    def read(self, raw: bytes) -> str:
+        if not self.chars:
+            return raw.decode("cp1252", "replace") if self.width == 1 else ""
+        return "".join(self.chars.get(int.from_bytes(raw[i : i + self.width], "big"), "") for i in range(0, len(raw), self.width))
+
+
+_PLAIN = Font()
 
 
 def _multiply(a, b):
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
-def _run(content: bytes, images: set[bytes], page: Page) -> None:
-    """Walk the content stream: text operators give lines, image operators give boxes."""
-    lines, line, stack, args, matrix = [], "", [], [], (1, 0, 0, 1, 0, 0)
+def _run(content: bytes, images: set[bytes], page: Page, fonts: dict[bytes, Font]) -> None:
+    """Walk the content stream: text operators give lines, image operators give boxes. In an array of strings a wide gap stands for a blank."""
+    lines, line, stack, args, matrix, font = [], "", [], [], (1, 0, 0, 1, 0, 0), _PLAIN
     num = lambda k: [float(x) for x in args[-k:]]
     for m in _TOKEN.finditer(content):
         t = m[0]
@@ -58,9 +94,15 @@ def _run(content: bytes, images: set[bytes], page: Page) -> None:
             if t != b"Tj" and line:
                 lines.append(line)
                 line = ""
-            line += _string(args[-1])
+            line += font.read(_bytes(args[-1]))
         elif t == b"TJ":
-            line += "".join(_string(x) for x in args if x[:1] in b"(<")
+            for x in args:
+                if x[:1] in b"(<":
+                    line += font.read(_bytes(x))
+                elif x[:1] not in b"[]/" and float(x) < -GAP and line and not line[-1].isspace():
+                    line += " "
+        elif t == b"Tf" and len(args) >= 2:
+            font = fonts.get(args[-2][1:], _PLAIN)
         elif t in (b"Td", b"TD", b"T*", b"Tm", b"ET") and line and (t != b"Td" or float(args[-1]) != 0):
             lines.append(line)
             line = ""
@@ -82,6 +124,14 @@ def parse(data: bytes) -> list[Page]:
     if not data.startswith(b"%PDF"):
         raise ValueError("not a PDF file")
     objects = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+    for raw in [x for x in objects.values() if re.search(rb"/Type\s*/ObjStm\b", x)]:  # objects kept together in one compressed stream
+        m, count, first = _STREAM.search(raw), re.search(rb"/N\s+(\d+)", raw), re.search(rb"/First\s+(\d+)", raw)
+        if m and count and first:
+            body = zlib.decompress(m[1]) if b"/FlateDecode" in raw[: m.start()] else m[1]
+            head = list(map(int, body[: int(first[1])].split()[: 2 * int(count[1])]))
+            ends = [*head[3::2], len(body) - int(first[1])]
+            for n, lo, hi in zip(head[::2], head[1::2], ends):
+                objects.setdefault(n, body[int(first[1]) + lo : int(first[1]) + hi])
 
     def follow(raw: bytes, key: bytes) -> bytes:
         m = re.search(rb"/" + key + rb"\s*(\d+)\s+\d+\s+R", raw)
@@ -95,14 +145,16 @@ def parse(data: bytes) -> list[Page]:
         return b"" if not m else zlib.decompress(m[1]) if b"/FlateDecode" in raw[: m.start()] else m[1]
 
     kids: list[int] = []
+    above: dict[int, bytes] = {}
 
-    def walk(n: int, depth: int = 0) -> None:
+    def walk(n: int, depth: int = 0, inherited: bytes = b"") -> None:
         raw = objects.get(n, b"")
         if re.search(rb"/Type\s*/Pages\b", raw) and depth < 50:
             for k in _REFS.findall(follow(raw, b"Kids") or b""):
-                walk(int(k), depth + 1)
+                walk(int(k), depth + 1, raw + inherited)
         elif re.search(rb"/Type\s*/Page\b", raw):
             kids.append(n)
+            above[n] = inherited
 
     for n, raw in objects.items():
         if re.search(rb"/Type\s*/Catalog\b", raw):
@@ -112,16 +164,20 @@ def parse(data: bytes) -> list[Page]:
     out = []
     for n in kids or [n for n, raw in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", raw)]:
         raw, page = objects[n], Page()
-        box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", raw) or re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", data)
+        box = next((m for x in (raw, above.get(n, b""), data) if (m := re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", x))), None)
         if box:
             x0, y0, x1, y1 = map(float, box.groups())
             page.width, page.height = x1 - x0, y1 - y0
         m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", raw)
         content = b"\n".join(stream(objects.get(int(k), b"")) for k in _REFS.findall(m[1])) if m else b""
-        resources = raw + follow(raw, b"Resources")
+        outer = above.get(n, b"")
+        resources = raw + follow(raw, b"Resources") if b"/Resources" in raw else raw + outer + follow(outer, b"Resources")
+        resources += follow(resources, b"XObject") + follow(resources, b"Font")
         named = {name: int(k) for name, k in re.findall(rb"/([^\s/<>]+)\s+(\d+)\s+\d+\s+R", resources)}
         images = {name for name, k in named.items() if re.search(rb"/Subtype\s*/Image\b", objects.get(k, b""))}
-        _run(content, images, page)
+        fonts = {name: Font(stream(follow(objects.get(k, b""), b"ToUnicode"))) for name, k in named.items() if b"/ToUnicode" in objects.get(k, b"")}
+        fonts |= {name: Font(b"begincodespacerange <0000> endcodespacerange") for name, k in named.items() if name not in fonts and re.search(rb"/Subtype\s*/Type0\b", objects.get(k, b""))}
+        _run(content, images, page, fonts)
         out.append(page)
     return out
 

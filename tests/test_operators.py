@@ -526,6 +526,27 @@ def make_pdf(texts: list[list[str]], image_on: set[int] = frozenset()) -> bytes:
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in sorted(objects.items())) + b"%%EOF"
 
 
+def test_pdf_with_fonts_and_compressed_objects():
+    import zlib
+
+    from ctxlake.sources import pdf
+
+    table = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0416> <0002> <D83DDE00> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0066> <00660069>] endbfrange"
+    body = b"BT /F1 12 Tf 72 720 Td <00010010 0011 0012> Tj 0 -14 Td [<0020> -250 <0021> 20 <0002>] TJ /F2 9 Tf 0 -14 Td (caf\\351 \\200\\(1\\)) Tj /F3 9 Tf 0 -14 Td <0001> Tj ET q 10 0 0 20 30 40 cm /Im Do Q"
+    packed = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 300 400] /Resources 9 0 R >>"), (3, b"<< /Type /Page /Parent 2 0 R /Contents 20 0 R >>"), (9, b"<< /Font 10 0 R /XObject << /Im 22 0 R >> >>"),
+              (10, b"<< /F1 11 0 R /F2 12 0 R /F3 13 0 R >>"), (11, b"<< /Type /Font /Subtype /Type0 /ToUnicode 21 0 R >>"), (12, b"<< /Type /Font /Subtype /Type1 >>"), (13, b"<< /Type /Font /Subtype /Type0 >>")]
+    head, at = [], 0
+    for n, o in packed:
+        head.append(f"{n} {at}")
+        at += len(o) + 1
+    head = " ".join(head).encode() + b" "
+    held = zlib.compress(head + b"\n".join(o for _, o in packed))
+    stream = lambda n, d, x: b"%d 0 obj\n<< /Length %d %s>>\nstream\n%s\nendstream\nendobj\n" % (n, len(x), d, x)
+    data = b"%PDF-1.5\n" + stream(30, b"/Type /ObjStm /N %d /First %d /Filter /FlateDecode " % (len(packed), len(head)), held) + stream(20, b"/Filter /FlateDecode ", zlib.compress(body)) + stream(21, b"", table) + stream(22, b"/Subtype /Image ", b"x") + b"%%EOF"
+    (page,) = pdf.parse(data)
+    assert page.text == "Жabc\nf fi😀\ncafé €(1)" and (page.width, page.height) == (300, 400) and page.boxes == [(30, 40, 40, 60)]
+
+
 def test_distill(spark, tmp_path):
     from ctxlake.sources import files, pdf
 
