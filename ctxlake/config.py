@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
+    #: Thresholds and limits (fixed values).
     min_native_chars: int = 20
     ocr_confidence: float = 70.0
     ocr_min_words: int = 5
@@ -31,6 +32,7 @@ class EngineConfig:
     figure_min_side: float = 48.0
     duplicate_min_chars: int = 40
     tag: str = "[ctxlake]"
+    #: Suffixes of files that are distilled (fixed values).
     image_suffixes: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".tiff", ".tif", ".bmp", ".webp")
     pdf_suffixes: tuple[str, ...] = (".pdf",)
 

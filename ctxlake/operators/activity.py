@@ -74,7 +74,8 @@ def recorded(log: DataFrame, new: DataFrame, cfg: EngineConfig = DEFAULT) -> Dat
     newest events stay. New events beyond what stays are cut off first, so numbering them takes no sort of all."""
     last = new.orderBy(*(F.desc(c) for c in _ORDER)).limit(cfg.activity_keep)
     top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
+    out = new.agg(F.greatest(F.count("*") - cfg.activity_keep, F.lit(0)).alias("out"))  # those cut off take their numbers too
     w = W.Window.partitionBy(F.lit(0)).orderBy(*_ORDER)  # at most activity_keep rows
-    n = last.crossJoin(F.broadcast(top)).withColumn("seq", F.col("top") + F.row_number().over(w))
+    n = last.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(out)).withColumn("seq", F.col("top") + F.col("out") + F.row_number().over(w))  # one row each
     n = n.select("seq", "session_id", "ts", "tool_name", bucket(F.col("tool_name"), F.col("command")).alias("bucket"))
     return retained(log.select("seq", "session_id", "ts", "tool_name", "bucket").unionByName(n), cfg)

@@ -160,6 +160,18 @@ def _decision_stream(s: SparkSession, d: str) -> DataFrame:
     return out.select("id", "decision", "branch", _told().alias("sha"))
 
 
+def _calls(reads: DataFrame) -> DataFrame:
+    """Reads as tool calls of several kinds."""
+    return reads.select("session_id", F.col("seen_at").alias("ts"), F.when(F.col("id") % 2 == 0, "Read").otherwise("Bash").alias("tool_name"), F.when(F.col("id") % 3 == 0, "go test ./...").alias("command"))
+
+
+def _recording(s: SparkSession, d: str) -> DataFrame:
+    where = new_folder(s, "log")
+    stream = parquet_stream(s, f"{d}/session_reads.parquet", table(s, d, "session_reads").schema)
+    streams.recording(_calls(stream), where, _events(s, d)).awaitTermination()
+    return streams.recorded_log(s, where).select("seq", "session_id", "tool_name", "bucket")
+
+
 def _told():
     return F.sha2(F.get_json_object("response", "$.hookSpecificOutput.permissionDecisionReason"), 256)
 
@@ -285,7 +297,8 @@ def queries() -> dict:
         "activity_counts": lambda s, d: activity.bucket_counts(_events(s, d)),
         "activity_mode": lambda s, d: activity.modes(_events(s, d)),
         "activity_retention": lambda s, d: activity.retained(_events(s, d)).select("seq"),
-        "activity_recorded": lambda s, d: activity.recorded(_events(s, d), t(s, d, "session_reads").select("session_id", F.col("seen_at").alias("ts"), F.when(F.col("id") % 2 == 0, "Read").otherwise("Bash").alias("tool_name"), F.when(F.col("id") % 3 == 0, "go test ./...").alias("command"))).select("seq", "session_id", "tool_name", "bucket"),
+        "activity_recorded": lambda s, d: activity.recorded(_events(s, d), _calls(t(s, d, "session_reads"))).select("seq", "session_id", "tool_name", "bucket"),
+        "stream_activity_recorded": _recording,
         "read_gate": lambda s, d: t(s, d, "chunks").select("chunk_id", sessions.intercepts(F.col("source_path"), F.lit(None), F.when(F.col("chunk_id") % 4 == 0, F.col("chunk_index")), F.lit(None)).alias("answered")),
         "rereads": lambda s, d: sessions.rereads(t(s, d, "session_reads")).select("id", "reread"),
         "read_response": lambda s, d: _decisions(s, d).where("decision = 'deny'").select("id", "branch", _told().alias("sha")),

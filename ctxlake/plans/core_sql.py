@@ -250,7 +250,8 @@ def oracle_sql() -> dict[str, str]:
         "activity_mode": f"WITH {_MODE}",
         "stream_activity_mode": f"SELECT * FROM (WITH {_MODE}) WHERE session_id IS NOT NULL",
         "activity_retention": f"WITH {_EV} SELECT seq FROM ev ORDER BY seq DESC LIMIT 500",
-        "activity_recorded": f"WITH {_EV}, top AS (SELECT max(seq) AS m FROM ev), nw AS (SELECT session_id, seen_at AS ts, CASE WHEN id % 2 = 0 THEN 'Read' ELSE 'Bash' END AS tool_name, CASE WHEN id % 3 = 0 THEN 'go test ./...' END AS command FROM session_reads ORDER BY 2 DESC NULLS LAST, 3 DESC, 1 DESC NULLS LAST, 4 DESC NULLS LAST LIMIT 500), nn AS (SELECT row_number() OVER (ORDER BY ts NULLS FIRST, tool_name, session_id NULLS FIRST, command NULLS FIRST) + (SELECT m FROM top) AS seq, session_id, tool_name, CASE WHEN tool_name = 'Read' THEN 'read' WHEN command IS NULL THEN 'bash_infra' ELSE 'bash_test' END AS bucket FROM nw) SELECT * FROM (SELECT seq, session_id, tool_name, bucket FROM ev UNION ALL SELECT * FROM nn) ORDER BY seq DESC LIMIT 500",
+        "activity_recorded": f"WITH {_EV}, top AS (SELECT max(seq) AS m FROM ev), nw AS (SELECT session_id, seen_at AS ts, CASE WHEN id % 2 = 0 THEN 'Read' ELSE 'Bash' END AS tool_name, CASE WHEN id % 3 = 0 THEN 'go test ./...' END AS command FROM session_reads ORDER BY 2 DESC NULLS LAST, 3 DESC, 1 DESC NULLS LAST, 4 DESC NULLS LAST LIMIT 500), nn AS (SELECT row_number() OVER (ORDER BY ts NULLS FIRST, tool_name, session_id NULLS FIRST, command NULLS FIRST) + (SELECT m FROM top) + (SELECT greatest(count(*) - 500, 0) FROM session_reads) AS seq, session_id, tool_name, CASE WHEN tool_name = 'Read' THEN 'read' WHEN command IS NULL THEN 'bash_infra' ELSE 'bash_test' END AS bucket FROM nw) SELECT * FROM (SELECT seq, session_id, tool_name, bucket FROM ev UNION ALL SELECT * FROM nn) ORDER BY seq DESC LIMIT 500",
+        "stream_activity_recorded": f"WITH {_EV}, top AS (SELECT max(seq) AS m FROM ev), nw AS (SELECT session_id, seen_at AS ts, CASE WHEN id % 2 = 0 THEN 'Read' ELSE 'Bash' END AS tool_name, CASE WHEN id % 3 = 0 THEN 'go test ./...' END AS command FROM session_reads ORDER BY 2 DESC NULLS LAST, 3 DESC, 1 DESC NULLS LAST, 4 DESC NULLS LAST LIMIT 500), nn AS (SELECT row_number() OVER (ORDER BY ts NULLS FIRST, tool_name, session_id NULLS FIRST, command NULLS FIRST) + (SELECT m FROM top) + (SELECT greatest(count(*) - 500, 0) FROM session_reads) AS seq, session_id, tool_name, CASE WHEN tool_name = 'Read' THEN 'read' WHEN command IS NULL THEN 'bash_infra' ELSE 'bash_test' END AS bucket FROM nw) SELECT * FROM (SELECT seq, session_id, tool_name, bucket FROM ev UNION ALL SELECT * FROM nn) ORDER BY seq DESC LIMIT 500",
         "read_gate": f"SELECT chunk_id, lower(regexp_extract(source_path, '(\\.[^./]+)$', 1)) IN {_DIST} AND CASE WHEN chunk_id % 4 = 0 THEN chunk_index END IS NULL AS answered FROM chunks",
         "rereads": f"WITH {_RE} SELECT id, reread FROM rr",
         "stream_rereads": f"WITH {_RE} SELECT id, reread FROM rr WHERE session_id IS NOT NULL AND seen_at IS NOT NULL",

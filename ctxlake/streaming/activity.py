@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ctxlake.config import DEFAULT, EngineConfig
-from ctxlake.operators import sessions
+from ctxlake.operators import activity, sessions
 from ctxlake.operators.activity import mode
+from ctxlake.runtime import hadoop_path
 
 
 def _ring(n: int):
@@ -72,6 +74,28 @@ def decision_stream(reads: DataFrame, shown: DataFrame, cfg: EngineConfig = DEFA
     return sessions.answered(known.unionByName(free), shown, cfg).unionByName(sessions.passed(g))
 
 
+def recording(calls: DataFrame, folder: str, log: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> StreamingQuery:
+    """Write a stream of tool calls (session_id, ts, tool_name, command) to a log that keeps the newest events only: after each micro-batch the log, at most
+    activity_keep rows, is a new version under ``folder``. ``log``: what it begins with. A batch that is repeated after a failure writes its version again."""
+    spark = calls.sparkSession
+    empty = "seq long, session_id string, ts timestamp, tool_name string, bucket string"
+    first = activity.retained(log.select("seq", "session_id", "ts", "tool_name", "bucket"), cfg) if log is not None else spark.createDataFrame([], empty)
+    first.coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/v0")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{folder}/log/v{epoch}")
+        activity.recorded(before, batch, cfg).coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/v{epoch + 1}")
+
+    return calls.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+def recorded_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of the log that was written to its end."""
+    p, fs = hadoop_path(spark, f"{folder}/log/v*/_SUCCESS")
+    n = max(int(x.getPath().getParent().getName()[1:]) for x in fs.globStatus(p))
+    return spark.read.parquet(f"{folder}/log/v{n}")
+
+
 def events_per_window(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """An extension: events by bucket in event-time windows, with a watermark; rows delivered twice within it count once."""
     e = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["seq"])

@@ -179,6 +179,21 @@ def test_activity_is_recorded(spark):
     assert activity.recorded(log.limit(0), new).count() == 2
 
 
+def test_recording_in_micro_batches(spark, tmp_path):
+    from ctxlake.streaming import activity as streams
+    from ctxlake.streaming.run import parquet_stream
+
+    schema = "session_id string, ts timestamp, tool_name string, command string"
+    where = str(tmp_path / "log")
+    for i in range(3):
+        rows = [("s", i * 10 + k, "Edit", None) for k in range(4)]
+        spark.createDataFrame(rows, "session_id string, t long, tool_name string, command string").select("session_id", F.timestamp_seconds("t").alias("ts"), "tool_name", "command").coalesce(1).write.mode("append").parquet(str(tmp_path / "calls"))
+        q = streams.recording(parquet_stream(spark, str(tmp_path / "calls"), schema), where, cfg=EngineConfig(activity_keep=6)) if i == 2 else None
+    q.awaitTermination()
+    log = streams.recorded_log(spark, where)
+    assert sorted(r.seq for r in log.collect()) == list(range(7, 13)) and log.where("bucket = 'edit'").count() == 6
+
+
 def test_audit(spark):
     p = "This paragraph is long enough to be compared with others."
     df = spark.createDataFrame([("a", p + "\n\nshort"), ("b", "x\n\n" + p.upper().replace(" ", "\n"))], "path string, text string")
