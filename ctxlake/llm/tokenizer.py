@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,7 +153,16 @@ class TrieBPE:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> TrieBPE:
-    return TrieBPE(path)
+    """From the path where it lies on this machine, else from what the driver shipped."""
+    return TrieBPE(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def ship(df: DataFrame, path: str) -> str:
+    """Have a vocabulary file that lies on the driver sent to workers that do not have it; the path."""
+    sc = df.sparkSession.sparkContext
+    if os.path.exists(path) and sc.master != "local" and not sc.master.startswith("local["):
+        sc.addFile(path)
+    return path
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -170,7 +180,7 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ids: array of int."""
-    file = path or vocabulary_path()
+    file = ship(df, path or vocabulary_path())
     part = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +195,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def count_tokens(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """The ``keep`` columns and the number of ids of each text; 0 for null and empty texts."""
-    file = path or vocabulary_path()
+    file = ship(df, path or vocabulary_path())
     part = spread(df.select(*keep, F.col(text_col).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -491,6 +491,19 @@ def test_ids_equal_public_library(spark):
     assert tokenizer.encode(df.limit(0)).count() == 0
 
 
+def test_vocabulary_is_shipped(spark, tmp_path):
+    import shutil
+
+    away = tmp_path / "shipped_bpe.tiktoken"
+    shutil.copy(tokenizer.vocabulary_path(), away)
+    spark.sparkContext.addFile(str(away))
+    away.unlink()
+    df = spark.createDataFrame([(1, "the pump"), (2, None)], "doc_id long, text string")
+    same = {tuple(map(str, r)) for r in tokenizer.encode(df).collect()}
+    assert {tuple(map(str, r)) for r in tokenizer.encode(df, path=str(away)).collect()} == same
+    assert tokenizer.ship(df, tokenizer.vocabulary_path()) == tokenizer.vocabulary_path()
+
+
 def test_trie_walk_survives_a_small_memo(monkeypatch):
     b = tokenizer.TrieBPE(tokenizer.vocabulary_path())
     want = b.encode_batch(["one two three four five six"])
