@@ -91,12 +91,35 @@ s AS (SELECT * FROM f WHERE NOT regexp_full_match(form, '[{_WS}]*'))
 _WS = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+def _cut(b: str) -> str:
+    """Where the piece that begins at ``b`` is cut: the last of the strongest places in the second half of its window, else in the rest, else at the limit."""
+    last = lambda lo, hi: f"{hi} - list_position(list_reverse(st[{lo} + 1:{hi} + 1]), list_max(st[{lo} + 1:{hi} + 1])) + 1"
+    half, rest = (f"({b} + 1001)", f"({b} + 2002)"), (f"({b} + 201)", f"({b} + 1000)")
+    return f"CASE WHEN n - {b} <= 2002 THEN n WHEN list_max(st[{half[0]} + 1:{half[1]} + 1]) > 0 THEN {last(*half)} WHEN list_max(st[{rest[0]} + 1:{rest[1]} + 1]) > 0 THEN {last(*rest)} ELSE {b} + 2002 END"
+
+
+_PIECES = rf"""WITH RECURSIVE big AS (SELECT chunk_id, source_path, chunk_index, regexp_extract_all(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g'), '(?s).') AS c FROM chunks WHERE text IS NOT NULL AND length(text) > 1500),
+ov AS (SELECT * FROM big WHERE len(c) > 2002),
+ch AS (SELECT chunk_id, unnest(c) AS x, unnest(range(len(c))) AS i FROM ov),
+cs AS (SELECT *, regexp_matches(x, '[{_WS}]') AS space FROM ch),
+cw AS (SELECT *, lag(space) OVER w AS after, sum(CASE WHEN x = chr(10) THEN 1 ELSE 0 END) OVER w AS nl, max(CASE WHEN NOT space THEN i END) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM cs WINDOW w AS (PARTITION BY chunk_id ORDER BY i)),
+cb AS (SELECT a.chunk_id, a.i, a.space, a.after, a.nl - b.nl AS breaks, b.x AS x1, CASE WHEN b.x IN (')', ']', '»', '”', '"', chr(39)) AND b.i > 0 THEN z.x ELSE b.x END AS x2
+  FROM cw a LEFT JOIN cw b ON b.chunk_id = a.chunk_id AND b.i = a.last LEFT JOIN cw z ON z.chunk_id = a.chunk_id AND z.i = a.last - 1),
+sl AS (SELECT chunk_id, list(CASE WHEN space OR after IS NOT TRUE THEN 0 WHEN breaks >= 2 THEN 6 WHEN breaks = 1 THEN 5 WHEN x2 IN ('.', '!', '?', '…', '。') THEN 4 WHEN x1 IN (',', ';', ':', ')', ']', '»', '”') THEN 3 ELSE 2 END ORDER BY i) AS st FROM cb GROUP BY chunk_id),
+t AS MATERIALIZED (SELECT ov.*, len(c) AS n, st || [0] AS st FROM ov JOIN sl USING (chunk_id)),
+pc AS (SELECT chunk_id, 0 AS k, 0::BIGINT AS lo, ({_cut("0")})::BIGINT AS hi FROM t
+  UNION ALL SELECT chunk_id, k + 1, nlo, ({_cut("nlo")})::BIGINT FROM (SELECT t.*, pc.k, (CASE WHEN coalesce(list_position(list_transform(st[pc.hi - 200 + 1:pc.hi], lambda x: x > 0), true), 0) > 0 THEN pc.hi - 201 + list_position(list_transform(st[pc.hi - 200 + 1:pc.hi], lambda x: x > 0), true) WHEN st[pc.hi + 1] = 0 THEN pc.hi - 200 ELSE pc.hi END)::BIGINT AS nlo FROM pc JOIN t ON t.chunk_id = pc.chunk_id WHERE pc.hi < t.n)),
+tx AS (SELECT pc.chunk_id, source_path, chunk_index AS parent_index, k::INTEGER AS chunk_index, lo AS "begin", hi AS "end", regexp_replace(array_to_string(c[lo + 1:hi], ''), '^[{_WS}]+|[{_WS}]+$', '', 'g') AS text FROM pc JOIN t ON t.chunk_id = pc.chunk_id)
+SELECT *, greatest(1, round_even(len(regexp_extract_all(text, '(?s).')) / 4.0, 0))::BIGINT AS token_count FROM tx"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
         "p1_classes": _groups(5, 4, 5),
         "p1_groups": _groups(3, 1, 2),
         "p5_found": _P5,
+        "p2_pieces": _PIECES,
         "p2_found": f"SELECT chunk_id FROM chunks WHERE round_even(length(regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')) / 4.0, 0) > 500",
         "p9_found": _forms() + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
         "p9_forms": _forms() + """, c AS (SELECT form, min(doc_id) AS class_id FROM s GROUP BY form)
