@@ -71,7 +71,7 @@ def index_tree(files: DataFrame, root: str, backends: Backends | None = None, mo
 def ask(version: Version, questions: DataFrame, k: int = DEFAULT.top_k, backends: Backends | None = None, model: str = "") -> DataFrame:
     """q, rank, doc, score, source_path, chunk_index, preview: the k best chunks of each question (q, question); keyword scores, blended with cosines where there are
     vectors and a service that embeds the questions."""
-    scored = retrieval.normalised(retrieval.scores(version.index, questions))
+    scored = retrieval.normalised(retrieval.scores(version.index, questions), questions)
     if backends is not None and backends.embed is not None:
         asked = chunking.embedded(questions.select(F.col("q").alias("chunk_id"), F.col("question").alias("text")), backends, model, "query").where("error IS NULL")
         asked = asked.select(F.col("chunk_id").alias("q"), "model", F.col("vector").alias("qv"))

@@ -102,9 +102,11 @@ def scores(index: Index, questions: DataFrame) -> DataFrame:
     return hit.groupBy("q", "doc").agg(F.sum(part).alias("bm25"))
 
 
-def normalised(scored: DataFrame) -> DataFrame:
-    """q, doc, score: by the question's greatest score; 0 where none is above 0."""
+def normalised(scored: DataFrame, questions: DataFrame) -> DataFrame:
+    """q, doc, score: by the question's greatest score; 0 where none is above 0. The greatest scores are a row a question: counted, and broadcast, so the documents of
+    a question never meet in one task."""
     top = scored.groupBy("q").agg(F.max("bm25").alias("top"))
+    top = F.broadcast(top) if questions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else top
     return scored.join(top, "q").select("q", "doc", F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(F.lit(0.0)).alias("score"))
 
 

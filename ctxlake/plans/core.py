@@ -117,7 +117,7 @@ def _index(s: SparkSession, d: str) -> retrieval.Index:
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.normalised(retrieval.scores(_index(s, d), _questions(s)))
+    return retrieval.normalised(retrieval.scores(_index(s, d), _questions(s)), _questions(s))
 
 
 def _best(s: SparkSession, d: str, k: int = 5) -> DataFrame:

@@ -105,7 +105,7 @@ def test_ranking(spark, tmp_path):
     docs = spark.createDataFrame([(1, "apples grow in a variety of climates"), (2, "a variety of trains run to the coast"), (3, "bread needs flour and water"), (4, None)], "doc long, text string")
     q = spark.createDataFrame([(1, "flour bread"), (2, "nothing here matches")], "q long, question string")
     index = retrieval.build(docs, "doc", str(tmp_path / "index"))
-    top = retrieval.top_k(retrieval.normalised(retrieval.scores(index, q)), index.lengths, q, 2)
+    top = retrieval.top_k(retrieval.normalised(retrieval.scores(index, q), q), index.lengths, q, 2)
     got = {(r.q, r["rank"]): (r.doc, r.score) for r in top.collect()}
     assert got[1, 1] == (3, 1.0) and got[2, 1] == (1, 0.0) and len(got) == 4
     again = retrieval.opened(spark, str(tmp_path / "index"))
