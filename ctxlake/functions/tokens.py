@@ -46,11 +46,18 @@ def crop(box: Column, page_height_pt: Column, width_px: Column, height_px: Colum
     return F.struct(whole(left, F.lit(0)).alias("left"), whole(top, F.lit(0)).alias("top"), whole(right, width_px).alias("right"), whole(bottom, height_px).alias("bottom"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine over the common length; 0 where a vector is null, empty or all zero."""
-    n = F.least(F.size(a), F.size(b))
-    x, y = F.slice(a, F.lit(1), F.greatest(n, F.lit(0))), F.slice(b, F.lit(1), F.greatest(n, F.lit(0)))
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
-    product = lambda u, v: total(F.zip_with(u, v, lambda p, q: p.cast("double") * q.cast("double")))
-    norm = F.sqrt(product(a, a)) * F.sqrt(product(b, b))
-    return F.when(F.coalesce(norm, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(product(x, y) / norm)
+def dot(a: Column, b: Column) -> Column:
+    """Sum of the products over the common length."""
+    n = F.greatest(F.least(F.size(a), F.size(b)), F.lit(0))
+    x, y = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, e: s + e)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine over the common length; 0 where a vector is null, empty or all zero. The norms may be at hand."""
+    both = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.when(F.coalesce(both, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(dot(a, b) / both)

@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 
 from ctxlake.runtime import checkpointed, spread
 
+#: Code points that have characters; the rest stand for themselves.
+POINTS = [*range(0x32400), *range(0xE0000, 0xE1000)]
 #: Letters of other scripts with the shape of a Latin one (fixed values).
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝӏҮԌӀ", "ABESIJKMHOPCTYXaeopcyxsijhdqwlYGI")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳϹͿ", "ABEZHIKMNOPTYXocjCJ")
@@ -56,7 +58,7 @@ def mapping() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     for table in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, SIGNS):
         one.update(zip(*table))
     letters = dict(one)
-    for c in map(chr, range(sys.maxunicode + 1)):
+    for c in map(chr, POINTS):
         kind = unicodedata.category(c)
         if kind == "Cf" or (kind == "Cc" and c not in VISIBLE_CONTROLS) or 0xFE00 <= ord(c) <= 0xFE0F or 0x180B <= ord(c) <= 0x180F or 0xE0100 <= ord(c) <= 0xE01EF:
             gone.append(c)
@@ -88,7 +90,7 @@ def coarse_table() -> tuple[np.ndarray, dict[int, str]]:
     src, dst, gone, joined = mapping()
     to = dict(zip(src, dst)) | dict.fromkeys(gone, "") | dict(joined)
     table, several = np.arange(sys.maxunicode + 1, dtype=np.int32), {}
-    for i in range(sys.maxunicode + 1):
+    for i in POINTS:
         c = chr(i)
         x = to.get(c, c)
         y = "".join(z for z in unicodedata.normalize("NFD", x) if unicodedata.category(z)[0] != "M")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ctxlake.functions.text import index_terms, let, strip
-from ctxlake.functions.tokens import cosine
+from ctxlake.functions.tokens import cosine, norm
 from ctxlake.runtime import shuffle_partitions, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -122,15 +122,22 @@ def top_k(scored: DataFrame, lens: DataFrame, questions: DataFrame, k: int) -> D
     return best.select("q", "doc", F.round("score", 4).alias("score"), "rank")
 
 
+def _compared(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, model, doc, cos. Each vector's norm is computed once, whatever the number of questions."""
+    v = vectors.select("doc", "model", "vector", norm(F.col("vector")).alias("nv"))
+    a = asked.select("q", "model", "qv", norm(F.col("qv")).alias("nq"))
+    return v.join(F.broadcast(a), "model").select("q", "model", "doc", cosine(F.col("vector"), F.col("qv"), F.col("nv"), F.col("nq")).alias("cos"))
+
+
 def cosines(vectors: DataFrame, asked: DataFrame) -> DataFrame:
     """q, doc, cos of every vector (doc, model, vector) with the questions' vectors (q, model, qv) of its model: a stated query set, a row a question and
     model, against all rows. Vectors stay where they are; only the cosines go on."""
-    return vectors.join(F.broadcast(asked), "model").select("q", "doc", cosine(F.col("vector"), F.col("qv")).alias("cos"))
+    return _compared(vectors, asked).select("q", "doc", "cos")
 
 
 def cosine_top(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """q, model, doc, score, rank: the k documents of each model nearest to each question's vector."""
-    c = vectors.join(F.broadcast(asked), "model").select("q", "model", "doc", F.round(cosine(F.col("vector"), F.col("qv")), 4).alias("score"))
+    c = _compared(vectors, asked).select("q", "model", "doc", F.round("cos", 4).alias("score"))
     w = W.Window.partitionBy("q", "model").orderBy(F.desc("score"), "doc")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
